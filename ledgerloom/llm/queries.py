@@ -15,6 +15,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents"), carry=False).drop("source")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,12 +29,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.quality import judged
+
+    judgement = judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judgement.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op3_mixing": op3_mixing,
         "op9_bpe": op9_bpe,
+        "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerloom.llm import quality
+
+    return {"op10_quality": quality.oracle()}
