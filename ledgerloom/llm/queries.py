@@ -21,6 +21,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents"), carry=False).drop("source")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.pii import digest, find_personal_data
+
+    return digest(find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +46,7 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_mixing": op3_mixing,
+        "op5_pii": op5_pii,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
     }
