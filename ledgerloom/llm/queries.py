@@ -27,6 +27,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"), detections=False)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +53,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op3_mixing": op3_mixing,
         "op5_pii": op5_pii,
+        "op7_licenses": op7_licenses,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
     }
