@@ -21,6 +21,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents"), carry=False).drop("source")
 
 
+def op4_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ledgerloom.llm.shared import fresh_path
+    from ledgerloom.llm.tokenstore import read_digests, write_store
+
+    path = fresh_path(spark, "tokens")
+    write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_digests(spark, path)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.pii import digest, find_personal_data
 
@@ -52,6 +63,7 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_mixing": op3_mixing,
+        "op4_tokenstore": op4_tokenstore,
         "op5_pii": op5_pii,
         "op7_licenses": op7_licenses,
         "op9_bpe": op9_bpe,
