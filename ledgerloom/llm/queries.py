@@ -15,6 +15,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.mixing import mixed
 
@@ -44,6 +50,17 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"), detections=False)
 
 
+def op8_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ledgerloom.llm.shared import fresh_path
+    from ledgerloom.llm.tokencounts import count_tokens, write_flat
+
+    path = fresh_path(spark, "flat")
+    write_flat(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return count_tokens(spark, path)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,10 +79,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_language": op2_language,
         "op3_mixing": op3_mixing,
         "op4_tokenstore": op4_tokenstore,
         "op5_pii": op5_pii,
         "op7_licenses": op7_licenses,
+        "op8_tokencounts": op8_tokencounts,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
     }
