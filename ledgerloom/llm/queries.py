@@ -44,6 +44,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.licenses import scan_licenses
 
@@ -83,6 +89,7 @@ def queries() -> dict:
         "op3_mixing": op3_mixing,
         "op4_tokenstore": op4_tokenstore,
         "op5_pii": op5_pii,
+        "op6_neighbours": op6_neighbours,
         "op7_licenses": op7_licenses,
         "op8_tokencounts": op8_tokencounts,
         "op9_bpe": op9_bpe,
