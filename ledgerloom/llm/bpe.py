@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,6 +247,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     return base.withColumn("_text", F.col(text)).mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, source, lang, ids (array<int>), n_tokens, and round_trip: whether the ids decode to the text's bytes."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def same(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        bpe = loaded(ranks_path, pattern)
+        return pd.Series([bpe.decode(i.tolist()) == (t or "").encode("utf-8") for t, i in zip(texts, ids)], dtype=bool)
+
+    encoded = encode_documents(docs.select("doc_id", "source", "lang", "text"), ranks_path, pattern)
+    return encoded.select("doc_id", "source", "lang", F.size("ids").alias("n_tokens"), "ids", same("text", "ids").alias("round_trip"))
+
+
 def encode_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, with decoding from the ids.
 

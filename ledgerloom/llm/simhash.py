@@ -113,11 +113,20 @@ def hex_of(fp: Column) -> Column:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one of smallest doc_id.
 
-    Of repeated rows with that doc_id one stays. Rows without a doc_id stay unless a named document has their
-    fingerprint.
+    Of repeated rows with that doc_id one stays. Of rows without a doc_id one for each fingerprint stays, and none if a
+    named document has that fingerprint.
     """
     found = near_duplicates(docs, **options)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once = docs.join(keep.where("n = 1"), "doc_id", "left_semi")
+    again = docs.join(keep.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # A row without a doc_id goes if a named document has its fingerprint.
     unnamed = docs.where("doc_id is null")
-    return named.unionByName(unnamed)
+    if not unnamed.isEmpty():
+        named = found.where("doc_id is not null").select("fingerprint").distinct()
+        text = options.get("text", "text")
+        marked = unnamed.withColumn("_n", F.monotonically_increasing_id())
+        own = fingerprints(marked, options.get("shingle", 3), text, "_n").select(F.col("doc_id").alias("_n"), hex_of(F.col("fp")).alias("fingerprint"))
+        alone = own.join(named, "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min("_n").alias("_n"))
+        return once.unionByName(again).unionByName(marked.join(alone.select("_n"), "_n", "left_semi").drop("_n"))
+    return once.unionByName(again)
