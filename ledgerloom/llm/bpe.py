@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ledgerloom.llm.pretokens import splitter
 from ledgerloom.llm.shared import ship
@@ -243,7 +244,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 start += len(part)
                 yield pa.RecordBatch.from_arrays([*own.columns, column], [*own.schema.names, "ids"])
 
-    schema = base.schema.add("ids", "array<int>")
+    schema = StructType([*base.schema.fields, StructField("ids", ArrayType(IntegerType()))])
     return base.withColumn("_text", F.col(text)).mapInArrow(run, schema)
 
 

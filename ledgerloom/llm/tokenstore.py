@@ -6,9 +6,9 @@ once. A document's recipe lists its chunks; the root of a Merkle tree over their
 a manifest holds the root over all recipes of each file.
 
 Folder of a store:
-    kind=chunk/   Parquet: hash (32 bytes), ids (little-endian, 2 or 4 bytes each)
-    recipes/      Parquet in ascending doc_id order, file by file: doc_id, part, local_start, n_tokens, hashes, counts, root
-    manifest/     Parquet: part, n_documents, n_tokens, root; ids of all earlier parts (part_start)
+    data/kind=chunk/   Parquet: hash (32 bytes), ids (little-endian, 2 or 4 bytes each)
+    recipes/           Parquet in ascending doc_id order, file by file: doc_id, part, local_start, n_tokens, hashes, counts, root
+    manifest/          Parquet: part, n_documents, n_tokens, root; ids of all earlier parts (part_start)
 """
 
 from __future__ import annotations
@@ -166,8 +166,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, wi
     # Each task has sent a chunk once already; here the copies of different tasks meet.
     w = Window.partitionBy("kind", "hash", "doc_id").orderBy("n_tokens")
     unique = rows.withColumn("_k", F.row_number().over(w)).where("kind = 'recipe' or _k = 1").drop("_k")
-    unique.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    recipes = spark.read.schema(schema).parquet(path).where("kind = 'recipe'").select("doc_id", "n_tokens", "hashes", "counts", "root")
+    unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
+    recipes = spark.read.schema(schema).parquet(f"{path}/data").where("kind = 'recipe'").select("doc_id", "n_tokens", "hashes", "counts", "root")
     ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
 
     def place(batches):
@@ -182,7 +182,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, wi
     ordered.mapInArrow(place, RECIPE).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     written = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
-    delete_path(spark, f"{path}/kind=recipe")
+    delete_path(spark, f"{path}/data/kind=recipe")
     parts = written.groupBy("part").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), part_root())
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts.withColumn("part_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
@@ -243,7 +243,7 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("hash binary, ids binary").parquet(f"{path}/kind=chunk")
+    return spark.read.schema("hash binary, ids binary, kind string").parquet(f"{path}/data").where("kind = 'chunk'").drop("kind")
 
 
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
