@@ -117,7 +117,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     named document has that fingerprint.
     """
     found = near_duplicates(docs, **options)
-    keep = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    keep = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept").hint("merge")  # it grows with docs
     once = docs.join(keep.where("n = 1"), "doc_id", "left_semi")
     again = docs.join(keep.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # A row without a doc_id goes if a named document has its fingerprint.
