@@ -29,7 +29,7 @@ CELLS = 1 << 21
 #: Longer pieces are merged one by one with a heap, in n log n steps.
 WIDEST = 128
 #: Pieces that the memo of a Python worker holds, at most; then it starts again.
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
