@@ -14,7 +14,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -249,16 +248,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 
 
 def encode_checked(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, source, lang, ids (array<int>), n_tokens, and round_trip: whether the ids decode to the text's bytes."""
+    """doc_id, source, lang, n_tokens, ids (array<int>), and round_trip: whether the ids decode to the text's bytes.
+
+    Encoding and decoding share one Python worker for each task, so that its memory holds one encoder.
+    """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def same(texts: pd.Series, ids: pd.Series) -> pd.Series:
+    def run(batches):
         bpe = loaded(ranks_path, pattern)
-        return pd.Series([bpe.decode(i.tolist()) == (t or "").encode("utf-8") for t, i in zip(texts, ids)], dtype=bool)
+        for batch in batches:
+            start = 0
+            for part in slices(batch.column(3)):
+                ids = [x.astype(np.int32) for x in bpe.encode_many(part)]
+                same = [bpe.decode(x.tolist()) == (t or "").encode("utf-8") for t, x in zip(part, ids)]
+                sizes = [len(x) for x in ids]
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                own = batch.slice(start, len(part))
+                start += len(part)
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(sizes, pa.int32()), column, pa.array(same, pa.bool_())], ["doc_id", "source", "lang", "n_tokens", "ids", "round_trip"])
 
-    encoded = encode_documents(docs.select("doc_id", "source", "lang", "text"), ranks_path, pattern)
-    return encoded.select("doc_id", "source", "lang", F.size("ids").alias("n_tokens"), "ids", same("text", "ids").alias("round_trip"))
+    schema = "doc_id long, source string, lang string, n_tokens int, ids array<int>, round_trip boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(run, schema)
 
 
 def encode_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
