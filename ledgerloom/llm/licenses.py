@@ -29,7 +29,7 @@ FAMILIES = (
     ("apache-2.0", rf"apache(?: software)?(?: licen[cs]e)?{_V} ?2(?: 0)?", "apache"),
     ("apache-1.1", rf"apache(?: software)?(?: licen[cs]e)?{_V} 1 1", "apache"),
     ("apache-1.0", rf"apache(?: software)?(?: licen[cs]e)?{_V} 1 0", "apache"),
-    ("mit", r"(?:mit|expat)(?: x11)?", "mit"),
+    ("mit", r"(?:mit|expat)(?: x11)?", "mit,expat"),
     ("mit-0", r"mit(?: 0| no attribution)", "mit"),
     ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd"),
     ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", "bsd"),
