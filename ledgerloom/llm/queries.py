@@ -78,7 +78,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.quality import judged
 
-    judgement = judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judgement = judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), registered_sql=True)
     return judgement.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
