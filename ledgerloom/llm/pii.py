@@ -32,10 +32,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Wider patterns, whose spans only the classifier can add.
-WIDE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,8}"
+WIDE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"
 WIDE_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|passwd|password)\b[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9_/+-]{12,512}[\"']?"
+SECRET = r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|passwd|password)\b[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9_/+-]{12,}+[\"']?"
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_OK = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
@@ -46,7 +46,7 @@ KNOWN = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38|62)",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})[^0-9]*|\(?[2-9])",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
-    "secret": r"(?=.*[0-9])(?=.*[A-Za-z])",
+    "secret": r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])",
 }
 # Cue words shortly before a span.
 CUES = {
