@@ -38,18 +38,22 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class PieceTokenizer:
-    """The tokenizers library over pieces, with a bounded memo of those already seen."""
+    """The tokenizers library over pieces, with a bounded memo of those already seen.
+
+    Texts with one of the file's added tokens go to the library whole: those are found before any cut into pieces.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = splitter(PATTERN)
         self.memo: dict[str, bytes] = {}
 
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [self.split(t or "") for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        split = [[] if i in whole else self.split(t or "") for i, t in enumerate(texts)]
         new = list(set().union(*split).difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
@@ -60,6 +64,9 @@ class PieceTokenizer:
             self.memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found))
         for i, pieces in enumerate(split):
             split[i] = None
+            if i in whole:
+                yield np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+                continue
             yield np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4")
 
 
