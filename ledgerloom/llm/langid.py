@@ -33,7 +33,8 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 
 _DROP = re.compile(r"<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_HTML = re.compile(r"<html\b([^>]*)", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def page_text(page: str | None) -> str:
@@ -42,8 +43,11 @@ def page_text(page: str | None) -> str:
 
 
 def declared_language(page: str | None) -> str:
-    m = _LANG.search((page or "")[:65536])  # a declaration stands at the head of a page
-    return m[1].lower() if m else ""
+    """The first language that an html tag names, wherever it stands; no character is read twice by the outer pattern."""
+    for tag in _HTML.finditer(page or ""):
+        if m := _LANG.search(tag[1]):
+            return m[1].lower()
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
