@@ -78,7 +78,8 @@ def fit_text_model(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, samp
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
 
     total = np.full((len(languages), BUCKETS), 0.1)
-    for r in texts.coalesce(4).mapInArrow(count, "lang string, counts binary").collect():  # 4 x languages rows
+    # All tasks scan; the chosen texts alone go to 4 tasks, which give 4 x languages rows.
+    for r in texts.repartition(4).mapInArrow(count, "lang string, counts binary").collect():
         total[languages.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
     return np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32).tobytes()
 

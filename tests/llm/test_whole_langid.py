@@ -2,7 +2,7 @@
 
 import time
 
-from ledgerloom.llm.langid import declared_language
+from ledgerloom.llm.langid import declared_language, fit_text_model
 
 
 def test_a_late_declaration_counts():
@@ -16,3 +16,13 @@ def test_pages_of_open_tags_take_linear_time():
     began = time.time()
     assert declared_language("<html " * 200_000) == ""
     assert time.time() - began < 5
+
+
+def test_the_model_is_fitted_by_tasks_that_all_scan(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i} of them", ("en", "de")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+
+    def refuse(*_):
+        raise AssertionError("coalesce() would scan the whole table in a few tasks")
+
+    monkeypatch.setattr(type(docs), "coalesce", refuse)
+    assert fit_text_model(docs.repartition(7), sample=5) == fit_text_model(docs.repartition(2), sample=5)
