@@ -142,8 +142,8 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
 
 def _narrow(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> DataFrame:
     """Sizes and places without the texts, counted once; all sums come from this table."""
-    own = {k: v for k, v in _hidden(text, source, doc_id, seed).items()}
-    return staged(docs.select(doc_id, source, *[v.alias(k) for k, v in own.items()], word_count(text_of(text)).alias("_size")), "sizes")
+    places = [v.alias(k) for k, v in _hidden(text, source, doc_id, seed).items()]
+    return staged(docs.select(doc_id, source, *places, word_count(text_of(text)).alias("_size")), "sizes")
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:

@@ -26,10 +26,10 @@ MARK, NOT_MARK = "\ue000", "\ue001"
 # that is never inside a run that has just failed. They match the same spans as
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+     ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 #   card [0-9]([\x20-]?[0-9])+                                  phone \+[0-9][\x20().0-9-]+[0-9]
-# (card also matches single digits here, which its length check drops).
+# (card also looks ahead for the 13 digits without which its length check drops a run).
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
+CARD = r"(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Wider patterns, whose spans only the classifier can add.
 WIDE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"
@@ -59,41 +59,50 @@ CUES = {
 }
 #: Characters before a span in which a cue counts.
 REACH = 40
+#: Characters of a block of a text that is being redacted.
+PIECE = 1000
 ROUNDS = 20
-SPAN = "array<struct<kind:int,start:int,stop:int,base:boolean,strict:int,known:int,cue:int,shape:string>>"
+ONE = "struct<kind:int,start:int,stop:int,base:boolean,strict:int,known:int,cue:int,shape:string>"
+SPAN = f"array<{ONE}>"
 FEATURES = ("strict", "known", "cue", "shape")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value taken once: a name in an expression stands for all of it, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under join (sum or greatest), by doubling: n log n steps in all."""
+    steps = F.expr("transform(sequence(0, 29), k -> shiftleft(1, k))")
+    return F.aggregate(F.filter(steps, lambda k: k < F.size(values)), values, lambda v, k: F.transform(v, lambda x, i: F.when(i < k, x).otherwise(join(x, F.get(v, i - k)))))
+
+
 def _matches(t: Column, pattern: str) -> Column:
-    """Array of (start, stop, m, before, after) of all matches, leftmost first, in code points."""
+    """Array of (start, stop, m, before) of all matches, leftmost first, in code points."""
     parts = F.split(F.regexp_replace(t, pattern, f"{MARK}$0{MARK}"), MARK)
-    kind = "array<struct<start:int,stop:int,m:string,before:string,after:string>>"
 
-    def step(s: Column, x: Column) -> Column:
-        stop = s["at"] + F.length(x)
-        hit = F.struct(s["at"].alias("start"), stop.alias("stop"), x.alias("m"), s["prev"].alias("before"), F.lit("").alias("after"))
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            stop.alias("at"),
-            F.when(s["i"] % 2 == 1, F.concat(s["out"], F.array(hit))).otherwise(s["out"]).cast(kind).alias("out"),
-            F.right(x, F.lit(REACH)).alias("prev"),
-        )
+    def placed(p: Column) -> Column:
+        def hits(ends: Column) -> Column:
+            at = F.transform(p, lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("stop"), x.alias("m"), F.right(F.get(p, i - 1), F.lit(REACH)).alias("before")))
+            return F.filter(at, lambda x, i: i % 2 == 1)
+
+        return _let(_running(F.transform(p, F.length), lambda a, b: a + b), hits)
 
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(kind).alias("out"), F.lit("").alias("prev"))
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+    return _let(parts, placed)
 
 
 def _luhn(m: Column) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    n = F.length(digits)
+    def holds(digits: Column) -> Column:
+        n = F.length(digits)
 
-    def add(a: Column, k: Column) -> Column:
-        d = F.substring(digits, n - k + 1, F.lit(1)).cast("int")
-        twice = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        return a + F.when(k % 2 == 0, twice).otherwise(d)
+        def add(a: Column, k: Column) -> Column:
+            d = F.substring(digits, n - k + 1, F.lit(1)).cast("int")
+            return a + F.when(k % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
 
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
-    return F.when(n.between(13, 19), total % 10 == 0).otherwise(F.lit(False))
+        return F.when(n.between(13, 19), F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0).otherwise(F.lit(False))
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), holds)
 
 
 def _digits(m: Column) -> Column:
@@ -186,23 +195,39 @@ def train(spans: DataFrame) -> dict[str, float]:
     return {r["k"]: r["w"] for r in rows.collect()}
 
 
+def _clear(spans: Column, others: Column) -> Column:
+    """Those of others that overlap no base span of spans.
+
+    Base spans stand by their starts, others by their stops, in one sorted array; the farthest base stop so far then
+    tells whether a span that begins before another's stop reaches past its start.
+    """
+    base = F.transform(F.filter(spans, lambda x: x["base"]), lambda x: F.struct(x["start"].alias("place"), F.lit(1).alias("turn"), x["stop"].alias("reach"), F.lit(None).cast(ONE).alias("span")))
+    rest = F.transform(others, lambda x: F.struct(x["stop"].alias("place"), F.lit(0).alias("turn"), F.lit(-1).alias("reach"), x.alias("span")))
+
+    def free(line: Column) -> Column:
+        reach = _running(F.transform(line, lambda x: x["reach"]), F.greatest)
+        held = _let(reach, lambda r: F.filter(line, lambda x, i: x["span"].isNotNull() & (F.get(r, i) <= x["span"]["start"])))
+        return F.transform(held, lambda x: x["span"])
+
+    return F.when(F.size(others) == 0, others).otherwise(_let(F.array_sort(F.concat(base, rest)), free))
+
+
 def accepted(spans: Column, weights: dict[str, float]) -> Column:
     """The base spans and those others that the classifier takes and that overlap no base span; by kind, then start."""
-    table = F.create_map(*[F.lit(v) for k, w in sorted(weights.items()) for v in (k, float(w))]) if weights else None
+    if not weights:
+        return F.array_sort(F.filter(spans, lambda x: x["base"]))
+    table = F.create_map(*[F.lit(v) for k, w in sorted(weights.items()) for v in (k, float(w))])
 
     def weight(x: Column, feature: str, value: Column) -> Column:
         return F.coalesce(F.try_element_at(table, F.concat_ws(":", x["kind"].cast("string"), F.lit(feature), value)), F.lit(0.0))
 
-    def take(x: Column) -> Column:
-        if table is None:
-            return x["base"]
+    def likely(x: Column) -> Column:
         score = weight(x, "prior", F.lit(""))
         for f in FEATURES:
             score = score + weight(x, f, x[f].cast("string"))
-        clear = ~F.exists(spans, lambda y: y["base"] & (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
-        return x["base"] | ((score > 0) & clear)
+        return ~x["base"] & (score > 0)
 
-    return F.array_sort(F.filter(spans, take))
+    return F.array_sort(F.concat(F.filter(spans, lambda x: x["base"]), _let(F.filter(spans, likely), lambda o: _clear(spans, o))))
 
 
 def listed(spans: Column) -> Column:
@@ -227,27 +252,46 @@ def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     d = found.withColumn("b", base)
     counts = [F.expr(f"CAST(size(filter(b, x -> x.kind = {k})) AS BIGINT) AS n_{KINDS[k]}") for k in range(BASE_KINDS)]
-    return d.select("doc_id", *counts, F.sha2(listed(F.col("b")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return d.select("doc_id", *counts, F.sha2(listed(F.col("b")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("found"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span replaced by its kind in angle brackets, and n_chars set anew where there is such a column.
 
-    Overlapping spans become one, named for the first. Null texts stay null.
+    Overlapping spans become one, named for the first. Null texts stay null; extra columns of any name are carried along;
+    repeated rows and null ids stay as they are, and an empty table gives an empty result.
     """
     # Written without the texts: training reads the candidates twice, and finding them is what costs.
     weights = train(staged(docs.select(candidate_spans(text_of(text)).alias("c")), "spans").select(F.inline("c")))
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    spans = F.array_sort(F.transform(F.col("_spans"), lambda x: F.struct(x["start"], x["stop"], x["kind"])))
-
-    def step(s: Column, x: Column) -> Column:
-        new = x["start"] >= s["at"]
-        piece = F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"]), F.get(names, x["kind"]))
-        return F.struct(F.when(new, piece).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["stop"]).alias("at"))
-
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    ended = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    d = docs.withColumn("_found", candidate_spans(text_of(text))).withColumn("_spans", accepted(F.col("_found"), weights))
-    d = d.withColumn("_new", F.when(F.size("_spans") == 0, F.col(text)).otherwise(ended))
-    out = [F.col("_new").alias(text) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"), candidate_spans(text_of(text)).alias("c"))
+    d = d.select("row", F.when(F.size("c") == 0, F.col("t")).otherwise(replaced(F.col("t"), accepted(F.col("c"), weights))).alias("new"))
+    out = [F.col("new").alias(text) if c == text else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return d.select(*out)
+
+
+def replaced(t: Column, spans: Column) -> Column:
+    """A text with its spans replaced by their kinds in angle brackets; overlapping spans are one, named for the first.
+
+    Each span that begins at or past the farthest stop before it opens a stretch; the text between stretches stays.
+    """
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+
+    def pieces(both: Column) -> Column:
+        line, blocks = both["line"], both["blocks"]
+
+        def between(start: Column, stop: Column) -> Column:
+            """Of a long text only the blocks from start to stop are read; finding a place in the whole text starts at its front."""
+            first = F.floor(start / PIECE).cast("int")
+            held = F.array_join(F.slice(blocks, first + 1, F.floor(stop / PIECE).cast("int") - first + 1), "")
+            return F.substring(held, start - first * PIECE + 1, stop - start)
+
+        def told(reach: Column) -> Column:
+            opens = F.filter(F.transform(line, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("past"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["past"])
+            said = F.transform(opens, lambda x: F.concat(between(x["past"], x["start"]), F.get(names, x["kind"])))
+            return F.concat(F.array_join(said, ""), between(F.element_at(reach, -1), F.length(t)))
+
+        return _let(_running(F.transform(line, lambda x: x["stop"]), F.greatest), told)
+
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(ordered) == 0, t).otherwise(_let(F.struct(ordered.alias("line"), blocks.alias("blocks")), pieces))
