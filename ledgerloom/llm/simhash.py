@@ -1,13 +1,15 @@
 """SimHash near-duplicates through covering locality-sensitive hashing (operator 1).
 
-A fingerprint's bits are dealt to the nonzero vectors of GF(2)^(r+1). Each nonzero vector v of that space gives one
-mask: the bits whose vector is orthogonal to v. Whatever r bits two fingerprints differ in, some v is orthogonal to
-all of their vectors, so that mask leaves the difference out and the two collide in its table: no pair within the
-radius is missed. There are 2^(r+1)-1 tables.
+A fingerprint's bits lie in BLOCKS blocks, and each mask leaves out as many blocks as the radius. Whatever r bits two
+fingerprints differ in, they lie in at most r blocks, so some mask leaves the difference out and the two collide in its
+table: no pair within the radius is missed. For radius 2 and 6 blocks there are 15 tables whose keys keep 42 or more
+bits, so that of 2e10 fingerprints under a tenth share a bucket by chance.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,16 +19,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shared import ship, staged
 
-BITS = 64
+BITS, BLOCKS = 64, 6
 #: Shingles whose bits are spread out at once.
 SPREAD = 1 << 15
 
 
-def covering_masks(radius: int, bits: int = BITS) -> list[int]:
+def covering_masks(radius: int, bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
     """The masks of kept bits, as unsigned integers; every set of at most radius bits is outside one of them."""
-    space = 1 << (radius + 1)
-    of_bit = [1 + i % (space - 1) for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (of_bit[i] & v).bit_count() % 2) for v in range(1, space)]
+    return [sum(1 << i for i in range(bits) if i * blocks // bits not in out) for out in combinations(range(blocks), radius)]
 
 
 def _signed(x: int) -> int:
@@ -72,10 +72,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id:
 def close_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Links a, b (representatives) that connect every two distinct fingerprints within the radius.
 
-    fps has fp and rep, one row for each distinct fingerprint. The covering tables find which fingerprints share a
-    bucket with another one. Those are then verified without pairing a bucket's members: for radius 2, two
-    fingerprints differ in at most two bits exactly if their sets of themselves and their one-bit changes meet, so
-    all that meet in one value are linked to the least of them. That keeps every component and never makes all pairs.
+    fps has fp and rep, one row for each distinct fingerprint. A pair within the radius shares a bucket of the table
+    whose mask leaves its difference out. A bucket's members are verified without being paired: each gives itself and its
+    changes in one left-out bit, and two members differ in at most two left-out bits exactly if these values meet, so all
+    that meet in one value are linked to the least of them. That keeps every component and never makes all pairs.
     """
     if radius != 2:
         raise ValueError("the verification by one-bit changes is for radius 2")
@@ -83,9 +83,10 @@ def close_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks)])
     tables = fps.select("rep", "fp", F.explode(keys).alias("x")).select("rep", "fp", "x.t", "x.key")
     shared = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    members = tables.join(shared, ["t", "key"]).select("rep", "fp").distinct()
-    values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b)).cast("long")) for b in range(BITS)])
-    balls = staged(members.select("rep", F.explode(values).alias("v")), "balls")
+    members = tables.join(shared, ["t", "key"])
+    changes = [F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)).cast("long") for b in range(BITS) if not m >> b & 1]) for m in masks]
+    of_table = F.get(F.array(*changes), F.col("t"))
+    balls = staged(members.select("rep", F.explode(F.transform(of_table, lambda x: F.col("fp").bitwiseXOR(x))).alias("v")).distinct(), "balls")
     hubs = balls.groupBy("v").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("v", "hub")
     return balls.join(hubs, "v").where("rep <> hub").selectExpr("rep a", "hub b").distinct()
 
@@ -114,19 +115,24 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one of smallest doc_id.
 
     Of repeated rows with that doc_id one stays. Of rows without a doc_id one for each fingerprint stays, and none if a
-    named document has that fingerprint.
+    named document has that fingerprint. Null texts count as texts without words; an empty table gives an empty result;
+    extra columns of any name are carried along.
     """
     found = near_duplicates(docs, **options)
-    keep = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept").hint("merge")  # it grows with docs
-    once = docs.join(keep.where("n = 1"), "doc_id", "left_semi")
-    again = docs.join(keep.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    # The kept ids grow with docs: they are joined by sorting at every size, never sent to all tasks.
+    kept = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = keep.where("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
     # A row without a doc_id goes if a named document has its fingerprint.
     unnamed = docs.where("doc_id is null")
-    if not unnamed.isEmpty():
-        named = found.where("doc_id is not null").select("fingerprint").distinct()
-        text = options.get("text", "text")
-        marked = unnamed.withColumn("_n", F.monotonically_increasing_id())
-        own = fingerprints(marked, options.get("shingle", 3), text, "_n").select(F.col("doc_id").alias("_n"), hex_of(F.col("fp")).alias("fingerprint"))
-        alone = own.join(named, "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min("_n").alias("_n"))
-        return once.unionByName(again).unionByName(marked.join(alone.select("_n"), "_n", "left_semi").drop("_n"))
-    return once.unionByName(again)
+    if unnamed.isEmpty():
+        return kept
+    text = options.get("text", "text")
+    held = unnamed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    held = staged(held.withColumn("n", F.monotonically_increasing_id()), "unnamed")
+    own = fingerprints(held, options.get("shingle", 3), "text", "n").select(F.col("doc_id").alias("n"), hex_of(F.col("fp")).alias("fingerprint"))
+    named = found.where("doc_id is not null").select("fingerprint").distinct()
+    alone = own.join(named, "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min("n").alias("n"))
+    return kept.unionByName(held.join(alone.select("n"), "n", "left_semi").select("row.*"))
