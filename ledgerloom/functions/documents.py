@@ -101,6 +101,14 @@ def _covers(short: Column, long: Column) -> Column:
     return F.aggregate(short, F.struct(long.alias("left"), F.lit(True).alias("ok")), take, lambda s: s["ok"])
 
 
+def names_agree(x: Column, y: Column) -> Column:
+    """Whether two names agree, for names that normalize_name() has been over; false where either has three characters or fewer or is null."""
+    tx, ty = F.split(x, " "), F.split(y, " ")
+    subset = F.when(F.size(tx) < F.size(ty), _covers(tx, ty)).when(F.size(tx) > F.size(ty), _covers(ty, tx)).otherwise(_covers(tx, ty) | _covers(ty, tx))
+    long_enough = (F.length(x) > 3) & (F.length(y) > 3)
+    return F.coalesce(F.when(long_enough, F.when(x.contains(y) | y.contains(x), True).otherwise(subset)), F.lit(False))
+
+
 def compare_names(a: Column, b: Column) -> Column:
     """bate, difere or indefinido for two names.
 
@@ -108,7 +116,4 @@ def compare_names(a: Column, b: Column) -> Column:
     tokens are all found in the other, single letters standing for any token that starts with them.
     """
     x, y = normalize_name(F.coalesce(a, F.lit(""))), normalize_name(F.coalesce(b, F.lit("")))
-    tx, ty = F.split(x, " "), F.split(y, " ")
-    subset = F.when(F.size(tx) < F.size(ty), _covers(tx, ty)).when(F.size(tx) > F.size(ty), _covers(ty, tx)).otherwise(_covers(tx, ty) | _covers(ty, tx))
-    agree = x.contains(y) | y.contains(x) | subset
-    return F.when((F.length(x) <= 3) | (F.length(y) <= 3), "indefinido").when(agree, "bate").otherwise("difere")
+    return F.when((F.length(x) <= 3) | (F.length(y) <= 3), "indefinido").when(names_agree(x, y), "bate").otherwise("difere")

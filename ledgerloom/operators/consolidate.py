@@ -8,15 +8,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.documents import compare_names
-from ledgerloom.functions.fields import WINDOW
+from ledgerloom.functions.documents import names_agree, normalize_name
+from ledgerloom.functions.fields import WINDOW, day_and_minutes, hour_minutes
 from ledgerloom.operators.storage import written
 
 SAME_DOCUMENT, ONE_DOCUMENT, HOUR_PERSON, HOUR, NAME_PERSON, NAME, NOTHING = 0.95, 0.9, 0.85, 0.75, 0.8, 0.65, 0.55
 CAP_SAME_VALUE, STRONG = 0.64, 0.9
 SINGLE_DOCUMENT, SINGLE_NAME, SINGLE_NOTHING = 0.85, 0.8, 0.4
-#: An assignment takes a few rounds; more than this is an error, not a cut.
-MOST_ROUNDS = 200
+#: Minutes that a statement's document number may differ from a payment's hour, and those beyond which two hours contradict each other.
+HOUR_NEAR, HOUR_APART = 5, 60
+
+
+def _grams(name: Column, n: int) -> Column:
+    """All runs of n characters of a name."""
+    return F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def _keys(name: Column) -> tuple[Column, Column]:
+    """Blocking keys of a name as the shorter and as the longer one: names that agree meet in one of them.
+
+    A name within another begins with a run of characters that the other holds; one whose tokens are all in another has its
+    longest token there, or, made of initials only, its first letter as an initial.
+    """
+    tokens = F.split(name, " ")
+    longest = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    head = F.when(F.length(name) >= 8, F.substring(name, 1, 8)).otherwise(F.substring(name, 1, 4))
+    word = F.when(F.length(longest) > 1, F.concat(F.lit("t:"), longest)).otherwise(F.concat(F.lit("i:"), F.substring(name, 1, 1)))
+    short = F.array(F.concat(F.lit("g:"), head), word)
+    long = F.concat(
+        F.transform(F.concat(_grams(name, 4), _grams(name, 8)), lambda g: F.concat(F.lit("g:"), g)),
+        F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)),
+        F.transform(tokens, lambda t: F.concat(F.lit("i:"), F.substring(t, 1, 1))),
+    )
+    return short, F.array_distinct(long)
+
+
+def people_by_name(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """nome, n_pessoas and unico (tipo and id, if there is one alone) of those normalised names that agree with people of the registry.
+
+    names has nome. Distinct names are compared, each with the registry's names that share a blocking key, so a
+    frequent name costs one row and no pair that agrees is missed.
+    """
+    who = F.struct("tipo", F.col("pessoa_id").alias("id"))
+    people = registry.groupBy(normalize_name(F.col("nome")).alias("_known")).agg(F.count("*").alias("_n"), F.min(who).alias("_who")).where(F.length("_known") > 3)
+    said = names.select("nome").distinct().where(F.length("nome") > 3)
+    (s_short, s_long), (p_short, p_long) = _keys(F.col("nome")), _keys(F.col("_known"))
+    meet = lambda a, b: said.select("nome", F.explode(a).alias("_key")).join(people.select("_known", "_n", "_who", F.explode(b).alias("_key")), "_key").drop("_key")
+    met = meet(s_short, p_long).unionByName(meet(s_long, p_short)).where(names_agree(F.col("nome"), F.col("_known"))).distinct()
+    found = met.groupBy("nome").agg(F.sum("_n").alias("n_pessoas"), F.min("_who").alias("unico"))
+    return found.withColumn("unico", F.when(F.col("n_pessoas") == 1, F.col("unico")))
+
+
+def linked(lines: DataFrame, registry: DataFrame) -> DataFrame:
+    """Lines with what pair scoring needs of each: nome normalised, pf and pj (registered name and quem: tipo and id, by
+    the line's documents), n_pessoas and unico (how many people's names agree, and who if one alone), minutos (of hora) and dia_hora (of nr_documento)."""
+    who = F.struct("tipo", F.col("pessoa_id").alias("id"))
+    of = lambda kind, name, key: registry.where(F.col("tipo") == kind).groupBy(F.col("documento").alias(key)).agg(F.min(F.struct(who.alias("quem"), normalize_name(F.col("nome")).alias("nome"))).alias(name))
+    d = lines.withColumns({"nome": normalize_name(F.col("nome")), "minutos": hour_minutes(F.col("hora")), "dia_hora": day_and_minutes(F.col("nr_documento"))}).drop("hora", "nr_documento")
+    return d.join(of("PF", "pf", "cpf"), "cpf", "left").join(of("PJ", "pj", "cnpj"), "cnpj", "left").join(people_by_name(d, registry), "nome", "left")
 
 
 def candidate_pairs(lines: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -42,26 +91,54 @@ def candidate_pairs(lines: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return across.unionByName(same_day.drop("_day"))
 
 
-def score_pairs(pairs: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds confianca, regra and registered (whether a person is found) to pairs, by the first rule that holds.
+def main_pairs(scored: DataFrame) -> DataFrame:
+    """The scored pairs that may become events; the others are hypotheses of lone lines (weak_pairs) or nothing."""
+    return scored.where("elegivel AND NOT fraco")
+
+
+def weak_pairs(scored: DataFrame) -> DataFrame:
+    """Both lines of every weak pair: id, outra_id and the hypothesis' confidence, one row for each direction."""
+    ends = F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("outra_id")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("outra_id"))))
+    return scored.where("fraco").select(ends.alias("x")).select("x.*", F.lit(NOTHING).alias("confianca"))
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Adds confianca, regra, pessoa (tipo and id, or null), fraco and elegivel to pairs of linked() lines.
 
-    registry has documento and tipo; it is joined on the pair's one document, b's before a's.
+    The first rule that holds counts; of documents known on one side b's stand before a's, CPF before CNPJ. fraco: nothing but value
+    and date agree, or the hours lie more than HOUR_APART minutes apart. All of a line's own work was done before lines
+    were paired, so a pair costs three comparisons of normalised names at most and no join.
     """
     same = lambda f: F.coalesce(F.col(f"a_{f}") == F.col(f"b_{f}"), F.lit(False))
-    document = F.coalesce("b_cpf", "a_cpf", "b_cnpj", "a_cnpj")
-    found = registry.select(F.col("documento").alias("_doc"), F.lit(True).alias("_known")).distinct()
-    d = pairs.withColumn("_doc", document).join(found, "_doc", "left").withColumn("registered", F.coalesce("_known", F.lit(False)))
-    names = compare_names(F.col("a_nome"), F.col("b_nome")) == "bate"
-    rules: list[tuple[Column, str, Column]] = [
-        (same("cpf"), "MESMO_CPF", F.lit(SAME_DOCUMENT)),
-        (same("cnpj"), "MESMO_CNPJ", F.lit(SAME_DOCUMENT)),
-        (F.col("registered") & names, "DOCUMENTO_CADASTRO", F.lit(ONE_DOCUMENT)),
-        (names, "NOME", F.when(F.col("registered"), NAME_PERSON).otherwise(NAME)),
+    sided = lambda f, of: F.when(F.col(f"b_{of}").isNotNull(), F.col(f"b_{f}")).otherwise(F.col(f"a_{f}"))
+    roles = lambda x, y: (F.col(f"{x}_papel") == "PIX") & (F.col(f"{y}_papel") == "COMPLETO")
+    on_time = lambda x, y: roles(x, y) & (F.col(f"{y}_dia_hora.day") == F.dayofmonth(f"{x}_data_movimento")) & (F.abs(F.col(f"{y}_dia_hora.minutes") - F.col(f"{x}_minutos")) <= HOUR_NEAR)
+    d = pairs.withColumns({"_pf": sided("pf", "cpf"), "_pj": sided("pj", "cnpj"), "_hour": F.coalesce(on_time("a", "b") | on_time("b", "a"), F.lit(False))})
+    d = d.withColumns({"_names": names_agree(F.col("a_nome"), F.col("b_nome")), "_pix_unico": F.when(F.col("a_papel") == "PIX", F.col("a_unico")).otherwise(F.col("b_unico"))})
+
+    def registered(person: str) -> Column:
+        own = F.col(f"{person}.nome")
+        return F.col(person).isNotNull() & (F.col("_names") | names_agree(F.col("a_nome"), own) | names_agree(F.col("b_nome"), own))
+
+    by_document = F.coalesce(F.col("_pf.quem"), F.col("_pj.quem"))
+    at_hour, by_name = F.coalesce(by_document, F.col("_pix_unico")), F.coalesce(by_document, F.col("a_unico"), F.col("b_unico"))
+    rules: list[tuple[Column, str, Column, Column]] = [
+        (same("cpf"), "MESMO_CPF", F.lit(SAME_DOCUMENT), F.col("b_pf.quem")),
+        (same("cnpj"), "MESMO_CNPJ", F.lit(SAME_DOCUMENT), F.col("b_pj.quem")),
+        (F.col("_hour"), "DOCUMENTO_HORA", F.when(at_hour.isNotNull(), HOUR_PERSON).otherwise(HOUR), at_hour),
+        (registered("_pf"), "CPF_CADASTRO", F.lit(ONE_DOCUMENT), F.col("_pf.quem")),
+        (registered("_pj"), "CNPJ_CADASTRO", F.lit(ONE_DOCUMENT), F.col("_pj.quem")),
+        (F.col("_names"), "NOME", F.when(by_name.isNotNull(), NAME_PERSON).otherwise(NAME), by_name),
     ]
-    score, rule = F.lit(NOTHING), F.lit("VALOR_DATA")
-    for holds, name, value in reversed(rules):
-        score, rule = F.when(holds, value).otherwise(score), F.when(holds, name).otherwise(rule)
-    return d.withColumn("confianca", score).withColumn("regra", rule).drop("_doc", "_known")
+    rule = F.lit(len(rules))
+    for k, (holds, *_) in reversed(list(enumerate(rules))):
+        rule = F.when(holds, k).otherwise(rule)
+    d = d.withColumn("_rule", rule)
+    pick = lambda values, otherwise: F.coalesce(*[F.when(F.col("_rule") == k, v) for k, v in enumerate(values)], otherwise)
+    d = d.withColumns({"confianca": pick([x[2] for x in rules], F.lit(NOTHING)), "regra": pick([F.lit(x[1]) for x in rules], F.lit("VALOR_DATA")), "pessoa": pick([x[3] for x in rules], F.lit(None))})
+    apart = F.coalesce(F.abs(F.col("a_minutos") - F.col("b_minutos")) > HOUR_APART, F.lit(False))
+    d = d.withColumns({"fraco": apart | (F.col("_rule") == len(rules)), "elegivel": same("cpf") | same("cnpj") | F.col("_hour") | F.col("_names")})
+    return d.drop("_pf", "_pj", "_hour", "_names", "_pix_unico", "_rule")
 
 
 def assign(pairs: DataFrame) -> DataFrame:
@@ -75,9 +152,7 @@ def assign(pairs: DataFrame) -> DataFrame:
     rank = F.struct((-F.col("confianca")).alias("c"), "a_data_movimento", "a_id", "b_id")
     left = written(pairs.select("a_id", "b_id", "a_data_movimento", "confianca").withColumn("rank", rank), "pairs")
     taken = None
-    for _ in range(MOST_ROUNDS):
-        if left.isEmpty():
-            return taken if taken is not None else spark.createDataFrame([], left.schema).drop("rank")
+    while not left.isEmpty():
         ends = left.select(F.explode(F.array("a_id", "b_id")).alias("id"), "rank")
         best = ends.groupBy("id").agg(F.min("rank").alias("best"))
         chosen = best.groupBy("best").agg(F.count("*").alias("n")).where("n = 2").select("best.a_id", "best.b_id", "best.a_data_movimento", (-F.col("best.c")).alias("confianca"))
@@ -85,17 +160,18 @@ def assign(pairs: DataFrame) -> DataFrame:
         taken = chosen if taken is None else taken.unionByName(chosen)
         used = chosen.select(F.explode(F.array("a_id", "b_id")).alias("id"))
         left = written(left.join(used.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(used.withColumnRenamed("id", "b_id"), "b_id", "left_anti"), "pairs")
-    raise RuntimeError(f"pairs were not assigned after {MOST_ROUNDS} rounds")
+    return taken if taken is not None else spark.createDataFrame([], left.schema).drop("rank")
 
 
-def singles(lines: DataFrame, taken: DataFrame, registry: DataFrame) -> DataFrame:
-    """The lines in no taken pair, with the confidence of a lone line: by document, by a name that is unique, or neither."""
+def singles(lines: DataFrame, taken: DataFrame, scored: DataFrame) -> DataFrame:
+    """The linked() lines in no taken pair: id, confianca (by registered document, by a name that is unique, or neither) and
+    n_hipoteses, the number of their weak pairs. The hypotheses themselves are rows of weak_pairs()."""
     used = taken.select(F.explode(F.array("a_id", "b_id")).alias("id"))
-    alone = lines.join(used, "id", "left_anti").withColumn("_doc", F.coalesce("cpf", "cnpj"))
-    by_document = registry.select(F.col("documento").alias("_doc"), F.lit(True).alias("_known")).distinct()
-    unique = registry.groupBy(F.upper("nome").alias("nome")).agg(F.count("*").alias("_n")).where("_n = 1")
-    d = alone.join(by_document, "_doc", "left").join(unique, "nome", "left")
-    return d.select("id", F.when(F.col("_known"), SINGLE_DOCUMENT).when(F.col("_n").isNotNull(), SINGLE_NAME).otherwise(SINGLE_NOTHING).alias("confianca"))
+    other = weak_pairs(scored).groupBy("id").agg(F.count("*").alias("n_hipoteses"))
+    alone = lines.join(used, "id", "left_anti").join(other, "id", "left")
+    known = F.col("pf").isNotNull() | F.col("pj").isNotNull()
+    confidence = F.when(known, SINGLE_DOCUMENT).when(F.col("unico").isNotNull(), SINGLE_NAME).otherwise(SINGLE_NOTHING)
+    return alone.select("id", confidence.alias("confianca"), F.coalesce("n_hipoteses", F.lit(0)).alias("n_hipoteses"))
 
 
 def cap_same_value(events: DataFrame, keys: tuple[str, ...] = ("data_movimento", "valor", "direcao")) -> DataFrame:

@@ -120,22 +120,68 @@ UNION ALL SELECT u.id, v.id, u.valor, u.direcao, 0 FROM a u JOIN a v ON u.valor
 query("pair_join", "linha", PAIRS + "SELECT a_id, b_id, valor, direcao, dias FROM par")(
     lambda lines: consolidate.candidate_pairs(lines).select("a_id", "b_id", "valor", "direcao", F.date_diff("b_data_movimento", "a_data_movimento").alias("dias"))
 )
-# Names here are equal or differ in one token's last digit, so that agreement is equality.
-SCORED = PAIRS + """, par2 AS (SELECT par.*, u.data_movimento AS a_data, u.cpf AS a_cpf, v.cpf AS b_cpf, u.cnpj AS a_cnpj, v.cnpj AS b_cnpj, coalesce(u.nome = v.nome, false) AS nome, coalesce(v.cpf, u.cpf, v.cnpj, u.cnpj) AS doc FROM par JOIN linha u ON a_id = u.id JOIN linha v ON b_id = v.id),
-scored AS (SELECT par2.*, d.documento IS NOT NULL AS reg FROM par2 LEFT JOIN (SELECT DISTINCT documento FROM pessoa) d ON doc = documento)
+# Names of the view agree exactly if one holds the other: none has initials or tokens in another order.
+AGREE = "length({0}) > 3 AND length({1}) > 3 AND (contains({0}, {1}) OR contains({1}, {0}))"
+LINKED = f"""
+, gente AS (SELECT tipo, pessoa_id, documento, upper(nome) AS nome FROM pessoa), nomes AS (SELECT DISTINCT upper(nome) AS n FROM linha WHERE nome IS NOT NULL),
+unicos AS (SELECT n, count(*) AS quantos, min(tipo || ':' || CAST(pessoa_id AS VARCHAR)) AS quem FROM nomes JOIN gente ON {AGREE.format("n", "nome")} GROUP BY n),
+ligada AS (SELECT l.id, l.papel, l.data_movimento, l.cpf, l.cnpj, upper(l.nome) AS nome, CAST(substr(l.hora, 1, 2) AS INT) * 60 + CAST(substr(l.hora, 4, 2) AS INT) AS minutos,
+  CAST(substr(l.nr_documento, 1, 2) AS INT) AS dia, CAST(substr(l.nr_documento, 3, 2) AS INT) * 60 + CAST(substr(l.nr_documento, 5, 2) AS INT) AS dia_minutos,
+  f.nome AS pf_nome, 'PF:' || CAST(f.pessoa_id AS VARCHAR) AS pf, j.nome AS pj_nome, 'PJ:' || CAST(j.pessoa_id AS VARCHAR) AS pj, CASE WHEN quantos = 1 THEN quem END AS unico, coalesce(quantos, 0) AS quantos, quem
+  FROM linha l LEFT JOIN gente f ON f.tipo = 'PF' AND l.cpf = f.documento LEFT JOIN gente j ON j.tipo = 'PJ' AND l.cnpj = j.documento LEFT JOIN unicos ON upper(l.nome) = n)
 """
-query("pair_score", "linha pessoa", SCORED + """SELECT a_id, b_id, CAST(CASE WHEN a_cpf = b_cpf OR a_cnpj = b_cnpj THEN 0.95 WHEN reg AND nome THEN 0.9 WHEN nome AND reg THEN 0.8 WHEN nome THEN 0.65 ELSE 0.55 END AS DOUBLE) AS confianca,
-  CASE WHEN a_cpf = b_cpf THEN 'MESMO_CPF' WHEN a_cnpj = b_cnpj THEN 'MESMO_CNPJ' WHEN reg AND nome THEN 'DOCUMENTO_CADASTRO' WHEN nome THEN 'NOME' ELSE 'VALOR_DATA' END AS regra FROM scored""")(
-    lambda lines, people: consolidate.score_pairs(consolidate.candidate_pairs(lines), people).select("a_id", "b_id", "confianca", "regra")
+SCORED = PAIRS + LINKED + f""", lado AS (SELECT a.id AS a_id, b.id AS b_id, coalesce(a.cpf = b.cpf, false) AS mesmo_cpf, coalesce(a.cnpj = b.cnpj, false) AS mesmo_cnpj, a.nome AS an, b.nome AS bn, b.pf AS b_pf, b.pj AS b_pj, a.unico AS au, b.unico AS bu,
+  CASE WHEN a.papel = 'PIX' THEN a.unico ELSE b.unico END AS pu, CASE WHEN b.cpf IS NOT NULL THEN b.pf ELSE a.pf END AS pf, CASE WHEN b.cpf IS NOT NULL THEN b.pf_nome ELSE a.pf_nome END AS pfn,
+  CASE WHEN b.cnpj IS NOT NULL THEN b.pj ELSE a.pj END AS pj, CASE WHEN b.cnpj IS NOT NULL THEN b.pj_nome ELSE a.pj_nome END AS pjn, coalesce(abs(a.minutos - b.minutos) > 60, false) AS longe,
+  coalesce(a.papel = 'PIX' AND b.papel = 'COMPLETO' AND b.dia = day(a.data_movimento) AND abs(b.dia_minutos - a.minutos) <= 5, false)
+    OR coalesce(b.papel = 'PIX' AND a.papel = 'COMPLETO' AND a.dia = day(b.data_movimento) AND abs(a.dia_minutos - b.minutos) <= 5, false) AS na_hora
+  FROM par JOIN ligada a ON a.id = a_id JOIN ligada b ON b.id = b_id),
+regras AS (SELECT *, coalesce({AGREE.format("an", "bn")}, false) AS nomes, coalesce({AGREE.format("an", "pfn")}, false) OR coalesce({AGREE.format("bn", "pfn")}, false) AS no_pf,
+  coalesce({AGREE.format("an", "pjn")}, false) OR coalesce({AGREE.format("bn", "pjn")}, false) AS no_pj FROM lado),
+ditas AS (SELECT *, CASE WHEN mesmo_cpf THEN 'MESMO_CPF' WHEN mesmo_cnpj THEN 'MESMO_CNPJ' WHEN na_hora THEN 'DOCUMENTO_HORA' WHEN pf IS NOT NULL AND (nomes OR no_pf) THEN 'CPF_CADASTRO'
+  WHEN pj IS NOT NULL AND (nomes OR no_pj) THEN 'CNPJ_CADASTRO' WHEN nomes THEN 'NOME' ELSE 'VALOR_DATA' END AS regra FROM regras),
+pontos AS (SELECT *, CASE regra WHEN 'MESMO_CPF' THEN b_pf WHEN 'MESMO_CNPJ' THEN b_pj WHEN 'DOCUMENTO_HORA' THEN coalesce(pf, pj, pu) WHEN 'CPF_CADASTRO' THEN pf WHEN 'CNPJ_CADASTRO' THEN pj WHEN 'NOME' THEN coalesce(pf, pj, au, bu) END AS pessoa FROM ditas),
+scored AS (SELECT a_id, b_id, regra, pessoa, longe OR regra = 'VALOR_DATA' AS fraco, mesmo_cpf OR mesmo_cnpj OR na_hora OR nomes AS elegivel,
+  CAST(CASE WHEN regra LIKE 'MESMO%' THEN 0.95 WHEN regra = 'DOCUMENTO_HORA' THEN CASE WHEN pessoa IS NULL THEN 0.75 ELSE 0.85 END WHEN regra LIKE '%CADASTRO' THEN 0.9 WHEN regra = 'NOME' THEN CASE WHEN pessoa IS NULL THEN 0.65 ELSE 0.8 END ELSE 0.55 END AS DOUBLE) AS confianca FROM pontos)
+"""
+PERSON = "concat_ws(':', pessoa.tipo, pessoa.id) AS pessoa"
+
+
+def _scored(lines: DataFrame) -> DataFrame:
+    return consolidate.score_pairs(consolidate.candidate_pairs(lines))
+
+
+def _greedy(scored: DataFrame) -> DataFrame:
+    return consolidate.assign(consolidate.main_pairs(scored))
+
+
+query("pair_score", "linha pessoa", SCORED + "SELECT a_id, b_id, confianca, regra, coalesce(pessoa, '') AS pessoa, fraco, elegivel FROM scored")(
+    lambda lines, people: _scored(consolidate.linked(lines, people)).selectExpr("a_id", "b_id", "confianca", "regra", PERSON, "fraco", "elegivel")
+)
+query("pair_hypotheses", "linha pessoa", SCORED + "SELECT a_id AS id, b_id AS outra_id, CAST(0.55 AS DOUBLE) AS confianca FROM scored WHERE fraco UNION ALL SELECT b_id, a_id, CAST(0.55 AS DOUBLE) FROM scored WHERE fraco")(
+    lambda lines, people: consolidate.weak_pairs(_scored(consolidate.linked(lines, people)))
+)
+_COMPARED = "CASE WHEN length(coalesce(nome, '')) <= 3 THEN 'indefinido' WHEN " + AGREE.format("nome", "{0}_nome") + " THEN 'bate' ELSE 'difere' END"
+# A line in five with a CPF has a CNPJ too.
+query("registry_link", "linha pessoa", LINKED + f""", doc AS (SELECT *, CASE WHEN cpf IS NOT NULL AND id % 5 = 0 THEN '00000000000001' ELSE cnpj END AS outro, CASE WHEN cpf IS NOT NULL THEN {_COMPARED.format("pf")} WHEN cnpj IS NOT NULL THEN {_COMPARED.format("pj")} END AS c FROM ligada)
+SELECT id, CASE WHEN cpf IS NOT NULL AND outro IS NOT NULL THEN 'REJEITADO' WHEN coalesce(pf, pj) IS NOT NULL THEN CASE WHEN c = 'bate' THEN 'ALTA' ELSE 'MEDIA' END WHEN c IS NOT NULL OR quantos = 0 THEN 'BAIXA' WHEN quantos = 1 THEN 'MEDIA' ELSE 'REJEITADO' END AS tier,
+  CASE WHEN cpf IS NOT NULL AND outro IS NOT NULL THEN 'indefinido' WHEN coalesce(pf, pj) IS NOT NULL THEN c WHEN c IS NULL AND quantos = 1 THEN 'bate' ELSE 'indefinido' END AS comparacao,
+  CASE WHEN cpf IS NOT NULL AND outro IS NOT NULL THEN 'CONFLITO_DOCUMENTO' WHEN c IS NOT NULL THEN CASE WHEN cpf IS NOT NULL THEN 'CPF' ELSE 'CNPJ' END || CASE WHEN coalesce(pf, pj) IS NULL THEN '_SEM_CADASTRO' WHEN c = 'difere' THEN '_CADASTRO,NOME_DIVERGE_CADASTRO' ELSE '_CADASTRO' END
+    WHEN quantos = 1 THEN 'NOME_CADASTRO' WHEN quantos > 1 THEN 'CONFLITO_NOME' ELSE '' END AS evidencias,
+  CAST(CASE WHEN cpf IS NOT NULL AND outro IS NOT NULL THEN 0 WHEN coalesce(pf, pj) IS NOT NULL THEN 0.45 WHEN c IS NULL AND quantos = 1 THEN 0.3825 ELSE 0 END AS DOUBLE) AS peso,
+  CASE WHEN cpf IS NOT NULL AND outro IS NOT NULL THEN '' WHEN c IS NOT NULL THEN coalesce(pf, pj, '') WHEN quantos = 1 THEN quem ELSE '' END AS pessoa FROM doc""")(
+    lambda lines, people: registry.link(consolidate.linked(lines.withColumn("cnpj", F.when(F.col("cpf").isNotNull() & (F.col("id") % 5 == 0), "00000000000001").otherwise(F.col("cnpj"))), people)).selectExpr("id", "tier", "comparacao", "evidencias", "peso", PERSON)
 )
+query("pair_greedy", "linha pessoa")(lambda lines, people: _greedy(_scored(consolidate.linked(lines, people))).select("a_id", "b_id", "confianca"))
 
 
-def _strong(lines: DataFrame, people: DataFrame) -> DataFrame:
-    return consolidate.score_pairs(consolidate.candidate_pairs(lines), people).where(F.col("confianca") > consolidate.NOTHING)
+@query("singles", "linha pessoa")
+def _singles(lines: DataFrame, people: DataFrame) -> DataFrame:
+    known = consolidate.linked(lines, people)
+    scored = _scored(known)
+    return consolidate.singles(known, _greedy(scored), scored)
 
 
-query("pair_greedy", "linha pessoa")(lambda lines, people: consolidate.assign(_strong(lines, people)).select("a_id", "b_id", "confianca"))
-query("singles", "linha pessoa")(lambda lines, people: consolidate.singles(lines, consolidate.assign(_strong(lines, people)), people))
 query("date_gap_explain", "linha", PAIRS + f""", d AS (SELECT u.data_movimento AS p, v.data_movimento AS c FROM par JOIN linha u ON a_id = u.id JOIN linha v ON b_id = v.id),
 e AS (SELECT p, c, (SELECT bool_or(dayofweek(x) IN (0, 6)) FROM (SELECT unnest(generate_series(p, c, INTERVAL 1 DAY)) AS x)) AS w,
   (SELECT min(CASE strftime(x, '%m-%d') {' '.join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(X.HOLIDAYS))} END) FROM (SELECT unnest(generate_series(p, c, INTERVAL 1 DAY)) AS x)) AS h FROM (SELECT DISTINCT p, c FROM d))

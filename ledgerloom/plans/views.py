@@ -30,7 +30,10 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nation
   CAST(l_shipdate AS DATE) AS data_movimento, CAST(l_quantity AS DECIMAL(15,2)) AS valor, l_returnflag AS direcao, l_partkey AS sessao_id,
   CASE WHEN l_orderkey % 9 = 0 THEN lpad(CAST(l_suppkey % 5 + 1 AS VARCHAR(20)), 11, '0') END AS cpf,
   CASE WHEN l_orderkey % 9 = 1 THEN lpad(CAST(l_suppkey % 5 + 1 AS VARCHAR(20)), 14, '0') END AS cnpj,
-  CASE WHEN l_orderkey % 4 <> 0 THEN 'SUPPLIER ' || CAST(l_suppkey % 6 AS VARCHAR(20)) END AS nome,
+  CASE WHEN l_orderkey % 8 = 2 THEN 'Supplier#' || lpad(CAST(l_suppkey % 6 AS VARCHAR(20)), 9, '0') WHEN l_orderkey % 8 = 6 THEN 'Customer#' || lpad(CAST(l_suppkey % 5 + 1 AS VARCHAR(20)), 9, '0')
+    WHEN l_orderkey % 4 <> 0 THEN 'SUPPLIER ' || CAST(l_suppkey % 6 AS VARCHAR(20)) END AS nome,
+  CASE WHEN l_orderkey % 3 <> 0 THEN lpad(CAST(l_orderkey % 2 + 10 AS VARCHAR(2)), 2, '0') || ':' || lpad(CAST(l_partkey % 10 AS VARCHAR(2)), 2, '0') END AS hora,
+  CASE WHEN l_orderkey % 5 = 2 THEN lpad(CAST(day(l_shipdate) AS VARCHAR(2)), 2, '0') || '10' || lpad(CAST(l_suppkey % 10 AS VARCHAR(2)), 2, '0') END AS nr_documento,
   CASE WHEN l_orderkey % 5 <> 0 THEN l_partkey % 3 END AS conta_id FROM {lineitem}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")

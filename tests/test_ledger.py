@@ -49,10 +49,13 @@ def brute_greedy(pairs):
 
 def test_greedy_equals_one_by_one(spark):
     lines, people = view(spark, SF, "linha"), view(spark, SF, "pessoa")
-    pairs = consolidate.score_pairs(consolidate.candidate_pairs(lines), people).cache()
+    lines = consolidate.linked(lines, people).cache()
+    scored = consolidate.score_pairs(consolidate.candidate_pairs(lines)).cache()
+    assert {r[0] for r in scored.select("regra").distinct().collect()} >= {"DOCUMENTO_HORA", "CPF_CADASTRO", "NOME", "VALOR_DATA"}
+    pairs = consolidate.main_pairs(scored)
     found = consolidate.assign(pairs).select("a_id", "b_id", "confianca").collect()
     assert plain(found) == plain(brute_greedy(pairs.collect())) and len(found) > 10
-    singles = consolidate.singles(lines, consolidate.assign(pairs), people)
+    singles = consolidate.singles(lines, consolidate.assign(pairs), scored)
     assert singles.count() == lines.count() - 2 * len(found)
 
 
