@@ -2,13 +2,14 @@
 
 A rolling hash over the last few ids cuts every document's id stream into chunks wherever the hash has a given form, so
 equal passages give equal chunks whatever stands before them. Chunks are named by the SHA-256 of their ids and stored
-once. A document's recipe lists its chunks; the root of a Merkle tree over their names says what the whole must be, and
-a manifest holds the root over all recipes of each file.
+once. A document's recipe lists its chunks; the root of a Merkle tree over their names says what the whole must be. A
+further Merkle tree stands over the documents: each one's leaf covers its id, place, counts and root, a node covers FAN
+leaves, a part's root covers its nodes, and the store's root, in the manifest, covers the parts.
 
 Folder of a store:
     data/kind=chunk/   Parquet: hash (32 bytes), ids (little-endian, 2 or 4 bytes each)
-    recipes/           Parquet in ascending doc_id order, file by file: doc_id, part, local_start, n_tokens, hashes, counts, root
-    manifest/          Parquet: part, n_documents, n_tokens, root; ids of all earlier parts (part_start)
+    recipes/           Parquet in ascending doc_id order, file by file: doc_id, part, place, local_start, n_tokens, hashes, counts, root
+    manifest/          Parquet: part, n_documents, n_tokens, root; ids of all earlier parts (part_start); store_root
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ REACH, LEAST, MEAN, MOST = 8, 128, 512, 4096
 #: Names of chunks that a task has already sent on, at most; more may be sent again and are dropped after the shuffle.
 SENT = 200_000
 MEMO = 800_000
+#: Documents below one node of the manifest's tree.
+FAN = 1024
 #: The byte-level pre-tokenizer's pattern; pieces never merge across its cuts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -150,13 +153,20 @@ def _encoder(path: str, end_id: int, width: int):
     return run
 
 
-def part_root():
-    """Root of a part: a digest over the sum of its placed documents' digests, so that grouping may take them in any order."""
-    placed = F.sha2(F.concat("root", F.encode(F.col("local_start").cast("string"), "utf-8")), 256)
-    return F.sha2(F.sum(F.conv(F.substring(placed, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string"), 256).alias("root")
+def _over(order: str, node: str):
+    """The node above others, which stand in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, node))), lambda x: x[node]), ""), 256)
 
 
-RECIPE = "doc_id long, part int, local_start long, n_tokens long, hashes array<binary>, counts array<int>, root binary"
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """part, n_documents, n_tokens and the root of the Merkle tree over each part's documents; no group is above FAN leaves or a part's nodes."""
+    said = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "local_start", "n_tokens", F.array_join(F.col("counts").cast("array<string>"), ","), F.hex("root")]
+    leaves = recipes.select("part", "place", F.floor(F.col("place") / FAN).alias("node"), "n_tokens", F.sha2(F.concat_ws(":", *said), 256).alias("leaf"))
+    nodes = leaves.groupBy("part", "node").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), _over("place", "leaf").alias("hash"))
+    return nodes.groupBy("part").agg(F.sum("n").alias("n_documents"), F.sum("t").alias("n_tokens"), _over("node", "hash").alias("root"))
+
+
+RECIPE = "doc_id long, part int, place long, local_start long, n_tokens long, hashes array<binary>, counts array<int>, root binary"
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, width: int = 2, text: str = "text", doc_id: str = "doc_id") -> None:
@@ -178,21 +188,23 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, wi
     ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
 
     def place(batches):
-        part, start = TaskContext.get().partitionId(), 0
+        part, start, place = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             n = batch.column(1).to_numpy(zero_copy_only=False)
             ends = np.cumsum(n) + start
-            columns = [batch.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(ends - n, pa.int64()), *batch.columns[1:]]
+            columns = [batch.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(np.arange(place, place + len(n)), pa.int64()), pa.array(ends - n, pa.int64()), *batch.columns[1:]]
+            place += len(n)
             start = int(ends[-1]) if len(n) else start
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "local_start", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "place", "local_start", *batch.schema.names[1:]])
 
     ordered.mapInArrow(place, RECIPE).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     written = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
     delete_path(spark, f"{path}/data/kind=recipe")
-    parts = written.groupBy("part").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), part_root())
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts.withColumn("part_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    started = part_roots(written).withColumn("part_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    started.withColumn("store_root", F.sha2(F.array_join(F.collect_list("root").over(every), ""), 256)).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def _powers() -> list[int]:
@@ -242,8 +254,8 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with start, after a check of each part against the manifest."""
     recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/manifest")
-    found = recipes.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), part_root())
-    same = (F.col("n") == F.col("n_documents")) & (F.col("t") == F.col("n_tokens")) & (found.root == manifest.root)
+    found = part_roots(recipes).select("part", F.col("n_documents").alias("n"), F.col("n_tokens").alias("t"), F.col("root").alias("found"))
+    same = F.coalesce((F.col("n") == F.col("n_documents")) & (F.col("t") == F.col("n_tokens")) & (F.col("found") == F.col("root")), F.lit(False))
     checked = found.join(manifest, "part", "full").withColumn("_ok", F.when(same, True).otherwise(F.raise_error(F.lit("a part differs from its manifest")).cast("boolean")))
     checked = checked.where("_ok").select("part", "part_start")
     return recipes.join(checked, "part").withColumn("start", F.col("part_start") + F.col("local_start"))
@@ -257,35 +269,36 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files of a store.
 
     Every chunk is read once, checked against its name and reduced to the CRC-32 of its ids as 32-bit integers; a
-    document's CRC-32 follows from those of its chunks in order, so no ids move. A chunk that is missing or changed, or a
-    recipe that its root or its part's manifest doesn't bear out, is an error.
+    document's CRC-32 follows from those of its chunks in order, so no ids move. A chunk that is missing, changed or not as
+    long as the recipe says, or a recipe that its root or its part's manifest doesn't bear out, is an error.
     """
     ship(spark)
 
     def reduce(batches):
         for batch in batches:
-            names, crcs = batch.column(0).to_pylist(), []
+            names, crcs, lengths = batch.column(0).to_pylist(), [], []
             for name, raw in zip(names, batch.column(1)):
                 raw = raw.as_py()
                 if hashlib.sha256(raw).digest() != name:
                     raise ValueError("a chunk differs from its name")
+                lengths.append(len(raw) // width)
                 crcs.append(zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(crcs, pa.int64())], ["hash", "crc"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(crcs, pa.int64()), pa.array(lengths, pa.int32())], ["hash", "crc", "n"])
 
-    crcs = _chunks(spark, path).mapInArrow(reduce, "hash binary, crc long")
+    crcs = _chunks(spark, path).mapInArrow(reduce, "hash binary, crc long, n int")
     recipes = _recipes(spark, path).withColumn("_row", F.concat_ws(":", "part", "local_start"))
     lines = recipes.select("_row", F.posexplode("hashes").alias("at", "hash"))
     # The names that many recipes share are joined like any others; Spark splits their partition where it grows.
-    joined = lines.join(crcs, "hash", "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "crc"))).alias("_crcs"), F.count("*").alias("_n"))
+    joined = lines.join(crcs, "hash", "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n"))).alias("_crcs"))
     whole = recipes.join(joined, "_row", "left")
 
     def fold(batches):
         for batch in batches:
             d = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out = []
-            for hashes, counts, root, crcs in zip(d["hashes"].to_pylist(), d["counts"].to_pylist(), d["root"].to_pylist(), d["_crcs"].to_pylist()):
+            for hashes, counts, root, crcs, n_tokens in zip(*(d[k].to_pylist() for k in ("hashes", "counts", "root", "_crcs", "n_tokens"))):
                 got = [c["crc"] for c in crcs or []]
-                if merkle_root(hashes) != root or len(got) != len(hashes) or None in got:
+                if merkle_root(hashes) != root or len(got) != len(hashes) or [c["n"] for c in crcs or []] != counts or sum(counts) != n_tokens:
                     raise ValueError("a document cannot be rebuilt from its recipe")
                 out.append(crc32_joined([(c, 4 * n) for c, n in zip(got, counts)]))
             yield pa.RecordBatch.from_arrays([d["doc_id"], d["start"], d["n_tokens"], pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -58,7 +58,6 @@ def test_encoded_documents_keep_their_columns(odd, odd_texts, none, library):
 
 def brute_store(rows):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -102,6 +101,20 @@ def test_a_store_names_each_chunk_once_and_notices_damage(spark, tmp_path):
         read_digests(spark, path).collect()
 
 
+@pytest.mark.parametrize("change", ["n_tokens + 1 AS n_tokens", "local_start + 1 AS local_start", "transform(counts, x -> x + 1) AS counts", "doc_id + 1 AS doc_id"])
+def test_damage_to_recipes_is_noticed(spark, tmp_path, change):
+    path, name = f"file://{tmp_path}/s", change.split()[-1]
+    write_store(spark.range(30).selectExpr("id AS doc_id", "concat('some text of document ', id) AS text"), path, JSON, 2)
+    assert read_digests(spark, path).count() == 30
+    recipes = spark.read.parquet(f"{path}/recipes")
+    changed = [change if c == name else c for c in recipes.columns]
+    recipes.where("doc_id <> 7").unionByName(recipes.where("doc_id = 7").selectExpr(*changed).to(recipes.schema)).write.parquet(f"{path}/other")
+    (tmp_path / "s" / "recipes").rename(tmp_path / "was")
+    (tmp_path / "s" / "other").rename(tmp_path / "s" / "recipes")
+    with pytest.raises(Exception, match="differs from its manifest|cannot be rebuilt"):
+        read_digests(spark, path).collect()
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(1).integers(0, 50_000, 40_000).astype(np.uint32)
     a, b = cuts(ids), cuts(np.concatenate([ids[:100] + 1, ids]))
