@@ -191,9 +191,9 @@ def tier(confidence: Column, person: Column, document: Column) -> Column:
 
 
 def auto_approvable(events: DataFrame, high: float = 0.85) -> DataFrame:
-    """id and whether an event needs no review: a person, high confidence and the highest tier before the cap."""
+    """id and whether an event needs no review: a person, high confidence and the highest tier before the cap, which wants a document (tem_documento)."""
     person = F.col("pessoa_id").isNotNull()
-    d = events.withColumn("_tier", tier(F.col("confianca"), person, F.lit(True)))
+    d = events.withColumn("_tier", tier(F.col("confianca"), person, F.col("tem_documento")))
     return cap_same_value(d).select("id", F.col("confianca"), F.col("_tier").alias("tier"), (F.col("pessoa_id").isNotNull() & (F.col("confianca") >= high) & (F.col("_tier") == "ALTA")).alias("auto"))
 
 

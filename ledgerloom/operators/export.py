@@ -29,20 +29,22 @@ def fan_out(ledger: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def origin_items(ledger: DataFrame, classes: DataFrame, people: DataFrame) -> DataFrame:
-    """id and the origem fragment of every incoming line; the receipt stands before the summary, as the schema wants."""
-    d = ledger.where("direcao = 'ENTRADA'").join(classes.withColumnRenamed("movimentacao_id", "id"), "id", "left")
+    """id and the origem fragment of every incoming, confirmed and classified line; the receipt stands before the summary, as the schema wants."""
+    d = ledger.where("direcao = 'ENTRADA' AND status = 'CONFIRMADO'").join(classes.withColumnRenamed("movimentacao_id", "id"), "id")
     d = d.join(people.where("tipo = 'PF'").select("pessoa_id", "documento", "nome"), "pessoa_id", "left")
     parts = [element("fonteRecurso", F.col("fonte_recurso")), element("dataMovimento", F.col("data_movimento")), element("valor", F.col("valor").cast("decimal(15,2)")), element("nrRecibo", F.col("nr_recibo_doacao")), element("cpf", F.col("documento")), element("nome", F.col("nome")), element("resumo", F.col("descricao_raw"))]
-    return d.select("id", "cnpj_prestador", "exercicio", F.concat(F.lit("<origem>"), *parts, F.lit("</origem>")).alias("xml"))
+    return d.select("id", "cnpj_prestador", "exercicio", "data_movimento", F.concat(F.lit("<origem>"), *parts, F.lit("</origem>")).alias("xml"))
 
 
 def origin_document(items: DataFrame, cnpj: str, year: int) -> DataFrame:
-    """The whole document of one filing entity and year, as lines in order: it is written by one sorted pass, never gathered in one value."""
-    own = items.where((F.col("cnpj_prestador").cast("string") == cnpj) & (F.col("exercicio") == year))
+    """The whole document of one filing entity and year, as lines by date and id: it is written by one sorted pass, never gathered in one value."""
+    own = items.where((F.col("cnpj_prestador") == cnpj) & (F.col("exercicio") == year))
+    safe = cnpj.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("%", "%%")
+    no_date = F.lit(None).cast("date").alias("data_movimento")
     total = own.agg(F.count("*").alias("n"))
-    head = total.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), F.format_string(f"<prestacao><cabecalho><nrCnpjPrestador>{cnpj}</nrCnpjPrestador><anoExercicio>{year}</anoExercicio></cabecalho><corpo><origens><totalOrigem>%d</totalOrigem>", "n").alias("xml"))
-    tail = total.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("id"), F.lit("</origens></corpo></prestacao>").alias("xml"))
-    return head.union(own.select(F.lit(1), F.col("id").cast("long"), "xml")).union(tail).orderBy("part", "id").select("xml")
+    head = total.select(F.lit(0).alias("part"), no_date, F.lit(0).cast("long").alias("id"), F.format_string(f"<prestacao><cabecalho><nrCnpjPrestador>{safe}</nrCnpjPrestador><anoExercicio>{year}</anoExercicio></cabecalho><corpo><origens><totalOrigem>%d</totalOrigem>", "n").alias("xml"))
+    tail = total.select(F.lit(2).alias("part"), no_date, F.lit(0).cast("long").alias("id"), F.lit("</origens></corpo></prestacao>").alias("xml"))
+    return head.union(own.select(F.lit(1), "data_movimento", F.col("id").cast("long"), "xml")).union(tail).orderBy("part", "data_movimento", "id").select("xml")
 
 
 def csv_lines(df: DataFrame, order: list[str]) -> DataFrame:

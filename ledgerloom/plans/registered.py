@@ -190,15 +190,15 @@ SELECT p AS pix, c AS completo, CASE WHEN p = c THEN NULL WHEN w THEN 'fim de se
     lambda lines: consolidate.candidate_pairs(lines).select(F.col("a_data_movimento").alias("pix"), F.col("b_data_movimento").alias("completo")).distinct().select("pix", "completo", *[c.alias(n) for c, n in zip(X.date_gap_reason(F.col("pix"), F.col("completo")), ("motivo", "situacao"))])
 )
 CAPPED = "CASE WHEN count(*) OVER (PARTITION BY data_movimento, valor, direcao) > 1 AND NOT (pessoa_id IS NOT NULL AND confianca >= 0.9) THEN least(confianca, 0.64) ELSE confianca END"
-EVENTS = ", e AS (SELECT id, data_movimento, CAST(floor(valor / 50000) * 50000 AS DECIMAL(15,2)) AS valor, direcao, pessoa_id, confianca FROM movimentacao WHERE NOT deletado)\n"
+EVENTS = ", e AS (SELECT id, data_movimento, CAST(floor(valor / 50000) * 50000 AS DECIMAL(15,2)) AS valor, direcao, pessoa_id, confianca, id % 3 <> 0 AS tem_documento FROM movimentacao WHERE NOT deletado)\n"
 
 
 def _events(m: DataFrame) -> DataFrame:
-    return m.where("NOT deletado").select("id", "data_movimento", (F.floor(F.col("valor") / 50000) * 50000).cast("decimal(15,2)").alias("valor"), "direcao", "pessoa_id", "confianca")
+    return m.where("NOT deletado").select("id", "data_movimento", (F.floor(F.col("valor") / 50000) * 50000).cast("decimal(15,2)").alias("valor"), "direcao", "pessoa_id", "confianca", (F.col("id") % 3 != 0).alias("tem_documento"))
 
 
 query("same_value_cap", "movimentacao", EVENTS + f"SELECT id, count(*) OVER (PARTITION BY data_movimento, valor, direcao) AS n_mesmo_valor, CAST({CAPPED} AS DOUBLE) AS confianca FROM e")(lambda m: consolidate.cap_same_value(_events(m)).select("id", "n_mesmo_valor", "confianca"))
-query("auto_approvable", "movimentacao", EVENTS + f""", c AS (SELECT id, pessoa_id, CAST({CAPPED} AS DOUBLE) AS confianca, CASE WHEN confianca >= 0.9 AND pessoa_id IS NOT NULL THEN 'ALTA' WHEN confianca >= 0.8 THEN 'MEDIA' ELSE 'BAIXA' END AS tier FROM e)
+query("auto_approvable", "movimentacao", EVENTS + f""", c AS (SELECT id, pessoa_id, CAST({CAPPED} AS DOUBLE) AS confianca, CASE WHEN confianca >= 0.9 AND pessoa_id IS NOT NULL AND tem_documento THEN 'ALTA' WHEN confianca >= 0.8 THEN 'MEDIA' ELSE 'BAIXA' END AS tier FROM e)
 SELECT id, confianca, tier, pessoa_id IS NOT NULL AND confianca >= 0.85 AND tier = 'ALTA' AS auto FROM c""")(lambda m: consolidate.auto_approvable(_events(m)))
 query("canonical_pick", "linha", """
 SELECT sessao_id, coalesce(min(CASE WHEN papel = 'COMPLETO' THEN id END), min(id)) AS canonica_id, count(*) AS n_linhas FROM linha GROUP BY sessao_id""")(lambda lines: consolidate.canonical(lines, "sessao_id"))
@@ -248,9 +248,9 @@ query("mirror_fanout", "movimentacao classificacao", """
 , j AS (SELECT id, valor, direcao, coalesce(nr_recibo_doacao, '') AS r FROM movimentacao LEFT JOIN classificacao ON id = movimentacao_id)
 SELECT id, valor, CASE WHEN direcao = 'ENTRADA' THEN 'origem' ELSE 'aplicacao' END AS documento FROM j UNION ALL SELECT id, valor, 'doacao' FROM j WHERE direcao = 'ENTRADA' AND r <> ''""")(export.fan_out)
 query("origin_xml", "movimentacao classificacao pessoa", """
-SELECT m.id, m.cnpj_prestador, m.exercicio, '<origem>' || CASE WHEN coalesce(fonte_recurso, '') <> '' THEN '<fonteRecurso>' || fonte_recurso || '</fonteRecurso>' ELSE '' END || '<dataMovimento>' || CAST(data_movimento AS VARCHAR) || '</dataMovimento><valor>' || CAST(valor AS VARCHAR) || '</valor>' ||
+SELECT m.id, m.cnpj_prestador, m.exercicio, m.data_movimento, '<origem>' || CASE WHEN coalesce(fonte_recurso, '') <> '' THEN '<fonteRecurso>' || fonte_recurso || '</fonteRecurso>' ELSE '' END || '<dataMovimento>' || CAST(data_movimento AS VARCHAR) || '</dataMovimento><valor>' || CAST(valor AS VARCHAR) || '</valor>' ||
   coalesce('<nrRecibo>' || nr_recibo_doacao || '</nrRecibo>', '') || coalesce('<cpf>' || documento || '</cpf><nome>' || nome || '</nome>', '') || '<resumo>' || descricao_raw || '</resumo></origem>' AS xml
-FROM movimentacao m LEFT JOIN classificacao c ON m.id = c.movimentacao_id LEFT JOIN pessoa p ON p.tipo = 'PF' AND m.pessoa_id = p.pessoa_id WHERE direcao = 'ENTRADA'""")(export.origin_items)
+FROM movimentacao m JOIN classificacao c ON m.id = c.movimentacao_id LEFT JOIN pessoa p ON p.tipo = 'PF' AND m.pessoa_id = p.pessoa_id WHERE direcao = 'ENTRADA' AND status = 'CONFIRMADO'""")(export.origin_items)
 
 
 def _table(name: str, table: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
