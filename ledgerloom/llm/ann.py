@@ -197,9 +197,14 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         return pd.DataFrame({"query_id": pd.Series([f[0] for f in found], dtype="int64"), "s": pd.Series(negated, dtype=object), "v": pd.Series([f[1] for f in found], dtype=object)})
 
     def searched(q: DataFrame) -> DataFrame:
-        p = points.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).drop("parts")
-        q = q.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
-        each = p.groupBy("g", "part").cogroup(q.groupBy("g", "part")).applyInPandas(search, "query_id long, s array<double>, v array<long>").select("query_id", F.arrays_zip("s", "v").alias("found"))
+        # A hot group's vectors and queries are both cut up; every part of the ones meets every chunk of the others.
+        chunks = q.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
+        sizes = parts.join(chunks, "g")
+        dealt = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+        p = points.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("chunk", dealt("chunks")).drop("parts", "chunks")
+        q = q.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks")).withColumn("part", dealt("parts")).drop("parts", "chunks")
+        block = ("g", "part", "chunk")
+        each = p.groupBy(*block).cogroup(q.groupBy(*block)).applyInPandas(search, "query_id long, s array<double>, v array<long>").select("query_id", F.arrays_zip("s", "v").alias("found"))
         # At most n from each part that a query visited.
         merged = each.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, n).alias("found"))
         return merged

@@ -59,6 +59,18 @@ def test_a_bucket_of_copies_is_searched_whole(spark):
     assert all(len(v) == 20 for v in found.values())
 
 
+def test_a_hot_bucket_is_cut_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, (np.array([1.0, 0.5, 0.25, 0.0]) + rng.normal(size=4) / 1000).tolist()) for k in range(600)] + [(k, rng.normal(size=4).tolist()) for k in range(600, 700)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = by_query(nearest(vectors).collect())
+    monkeypatch.setattr("ledgerloom.llm.ann.GROUP", 16)  # 600 vectors and 30 queries of one bucket
+    cut = by_query(nearest(vectors).collect())
+    for q in range(0, 600, 20):
+        assert {v for v, _ in whole[q]} == {v for v, _ in cut[q]} and len(cut[q]) == 20
+    assert whole.keys() == cut.keys()
+
+
 def test_language_of_labelled_pages(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
     known = [r for r in docs.where("lang in ('de', 'en', 'es', 'fr') and length(text) > 300").orderBy("doc_id").collect()][-200:]
