@@ -22,8 +22,8 @@ from ledgerloom.llm.shared import ship, staged
 END_ID = 50256
 #: Ids of a block.
 BLOCK = 1 << 20
-#: Documents of a file, at most, so that no file outgrows a task.
-PER_FILE = 20_000
+#: Bytes after which a file ends with the document at hand, so that a file is never longer than this and one document.
+FILE_BYTES = 32 << 20
 
 
 @lru_cache(maxsize=2)
@@ -33,41 +33,54 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-def write_flat(docs: DataFrame, path: str, ranks_path: str, pattern: str, end_id: int = END_ID, text: str = "text") -> None:
-    """Writes docs as flat token files, in the order in which docs come. Null texts are empty documents."""
+def write_flat(docs: DataFrame, path: str, ranks_path: str, pattern: str, end_id: int = END_ID, text: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Writes docs as flat token files, in the order in which docs come. Null texts are empty documents.
+
+    A file ends with the first document that brings it to file_bytes. An empty table gives files without a byte, or none.
+    """
     ship(docs.sparkSession)
     if end_id & 0xFF >= 0x80 or end_id > 0xFFFF:
         raise ValueError("the end id's low byte must be an ASCII character, and it must have two bytes")
 
     def run(batches):
         encoding = _encoding(ranks_path, pattern)
+        held = bytearray()
+
+        def record():
+            # The end id's last byte is the line separator that the writer adds.
+            return pa.RecordBatch.from_arrays([pa.array([bytes(memoryview(held)[:-1])], pa.binary())], ["value"])
+
         for batch in batches:
             for part in slices(batch.column(0)):
-                out = []
                 for t in part:
                     ids = encoding.encode_ordinary((t or "").encode("utf-8", "replace").decode("utf-8"))
                     if ids and max(ids) >= end_id:
                         raise ValueError("a token's id is not below the end id")
-                    # The end id's last byte is the line separator that the writer adds.
-                    out.append(np.array([*ids, end_id], ">u2").tobytes()[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    held += np.array([*ids, end_id], ">u2").tobytes()
+                    if len(held) >= file_bytes:
+                        yield record()
+                        held = bytearray()
+        if held:
+            yield record()
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "value binary")
     writer = rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(end_id & 0xFF))
-    writer.option("maxRecordsPerFile", PER_FILE).text(path)
+    writer.option("maxRecordsPerFile", 1).text(path)  # a record is a file's documents
 
 
 def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """file (from 0, by name), doc_no (from 0, over all files), start and n_tokens of each document of flat files.
 
     n_tokens leaves the end id out; start counts all ids before the document, end ids too. Ids after a file's last end
-    are a document of their own. A folder of empty files gives an empty result.
+    are a document of their own. A folder of empty files gives an empty result. A file is one row when it is read, so
+    files must stay below 2 GB; write_flat() sees to that.
     """
     ship(spark)
     files = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (2 * block)).cast("int")))
-    blocks = files.where("length > 0").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), at.alias("block"), "content")
-    blocks = blocks.select("name", "block", F.expr(f"substring(content, block * {2 * block} + 1, {2 * block})").alias("raw"))
+    # The blocks are cut before they become rows, so that no row carries a whole file.
+    places = F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (2 * block)).cast("int"))
+    cut = F.transform(places, lambda k: F.substring("content", k * F.lit(2 * block) + 1, F.lit(2 * block)))
+    blocks = files.where("length > 0").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.posexplode(cut).alias("block", "raw"))
 
     def scan(batches):
         for batch in batches:

@@ -134,3 +134,15 @@ def test_separator_scan_counts_every_document(spark, texts, odd, odd_texts, none
         assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens + 1 for r in rows[:-1])]).tolist()
     write_flat(none, f"file://{tmp_path}/b", RANKS, PATTERN)
     assert count_tokens(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_flat_files_are_bounded_by_bytes_and_keep_order(spark, odd_texts, library, tmp_path):
+    schema = "k long, text string"
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(odd_texts)], schema).coalesce(1).orderBy("k")
+    sizes = [len(library.encode_ordinary(t or "")) for _, t in odd_texts]
+    write_flat(docs, f"file://{tmp_path}/c", RANKS, PATTERN, file_bytes=200)
+    lengths = [f.stat().st_size for f in sorted((tmp_path / "c").glob("part-*"))]
+    assert len(lengths) > 1 and sum(lengths) == 2 * sum(n + 1 for n in sizes)
+    assert all(n < 200 + 2 * (max(sizes) + 1) for n in lengths)
+    rows = sorted(count_tokens(spark, f"file://{tmp_path}/c", block=50).collect(), key=lambda r: r.doc_no)
+    assert [r.n_tokens for r in rows] == sizes
