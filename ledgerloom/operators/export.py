@@ -47,6 +47,86 @@ def origin_document(items: DataFrame, cnpj: str, year: int) -> DataFrame:
     return head.union(own.select(F.lit(1), "data_movimento", F.col("id").cast("long"), "xml")).union(tail).orderBy("part", "data_movimento", "id").select("xml")
 
 
+# A document's element by its type, and the forms and operations of a donation by the kind of money.
+DOCUMENT_TAGS = {"BOLETO": "boleto", "CONTRATO": "contrato", "FISCAL": "fiscal", "FATURA": "fatura", "RECIBO": "recibo", "OUTRO": "outro"}
+DONATION_FORMS, OPERATIONS = ("PIX", "TED", "TEL", "TEB", "CH"), ("PIX", "TED", "TEL", "EP")
+# What stands where a line names none.
+NO_SPENDING_CODE, NO_DOCUMENT_TYPE, NO_SITUATION, NO_SOURCE, NO_KIND = "401", "RECIBO", 1, "OR", "PIX"
+
+
+def node(name: str, *parts: Column) -> Column:
+    """An element that holds other elements."""
+    return F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
+
+
+def _money(c: Column) -> Column:
+    return c.cast("decimal(15,2)")
+
+
+def application_items(ledger: DataFrame, classes: DataFrame, people: DataFrame) -> DataFrame:
+    """id, scope, xml and erro: the gasto fragment of every outgoing, confirmed and classified line.
+
+    people has tipo, pessoa_id, documento and nome; the ledger pessoa_id and pessoa_juridica_id, of which the company
+    comes first. A line without either has no xml but an erro, which a writer must check.
+    """
+    d = ledger.where("direcao = 'SAIDA' AND status = 'CONFIRMADO'").join(classes.withColumnRenamed("movimentacao_id", "id"), "id")
+    for kind, key in (("PF", "pessoa_id"), ("PJ", "pessoa_juridica_id")):
+        d = d.join(people.where(F.col("tipo") == kind).select(F.col("pessoa_id").alias(key), F.struct("documento", "nome").alias(kind)), key, "left")
+    company = node("pessoaJuridica", element("nrCnpj", F.col("PJ.documento")), element("nmPessoa", F.col("PJ.nome")))
+    person = node("pessoaFisica", element("nrCpf", F.col("PF.documento")), element("nmPessoa", F.col("PF.nome")))
+    told = F.coalesce("descricao_resumida", "descricao_raw")
+    document = F.concat(element("nrDocumento", F.col("nr_documento")), element("dataEmissaoContratacao", F.coalesce("data_emissao", "data_movimento")), element("vrTotalDocumento", _money(F.col("valor"))))
+    tipo = F.upper(F.coalesce("tipo_documento", F.lit(NO_DOCUMENT_TYPE)))
+    tagged = node("recibo", document)
+    for kind, tag in DOCUMENT_TAGS.items():
+        tagged = F.when(tipo == kind, node(tag, *([element("descricao", F.substring(told, 1, 20))] if tag == "outro" else []), document)).otherwise(tagged)
+    situation = F.when(F.coalesce("detalhe_situacao", F.lit(NO_SITUATION)) == 1, node("situacao1", element("descricaoResumida", told))).otherwise("")
+    spent = node("classificacaoGasto", node("gastoContaContabil", element("cdDescricaoGasto", F.coalesce("cd_gasto", F.lit(NO_SPENDING_CODE))), element("vrGasto", _money(F.col("valor"))), situation))
+    who = F.when(F.col("PJ").isNotNull(), company).when(F.col("PF").isNotNull(), person)
+    xml = node("gasto", node("pessoa", who), node("dadosDocumento", tagged), spent)
+    return d.select("id", "cnpj_prestador", "exercicio", "data_movimento", xml.alias("xml"), F.when(who.isNull(), "sem pessoa").alias("erro"))
+
+
+def donation_items(ledger: DataFrame, classes: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
+    """id, scope, xml and erro: the doacao fragment of every incoming, confirmed, classified line with a synced link.
+
+    links has movimentacao_id and sincronizado; the ledger uf_sigla, nr_extrato_bancario and conta (agencia, conta, dv, or
+    null). A line whose person or receipt is missing has no xml but an erro.
+    """
+    linked = links.where("sincronizado").select(F.col("movimentacao_id").alias("id"))
+    d = ledger.where("direcao = 'ENTRADA' AND status = 'CONFIRMADO'").join(linked, "id").join(classes.withColumnRenamed("movimentacao_id", "id"), "id")
+    d = d.join(people.where("tipo = 'PF'").select("pessoa_id", F.struct("documento", "nome").alias("PF")), "pessoa_id", "left")
+    money, receipt = _money(F.col("valor")), F.nullif("nr_recibo_doacao", F.lit(""))
+    kind = F.upper(F.coalesce("especie_recurso", F.lit(NO_KIND)))
+    number = F.coalesce("nr_extrato_bancario", "nr_recibo_doacao", F.lit("0"))
+    party = node("beneficiario", node("partido", element("tipo", F.lit("PP")), element("nrCnpj", F.col("cnpj_prestador")), element("esferaPartidaria", F.lit("ESTADUAL")), element("eleicao", F.col("exercicio")), element("eleicaoSuplementar", F.lit("N")), element("partido", F.col("partido")), element("uf", F.upper("uf_sigla"))))
+    donor = node("doadoresOriginarios", node("dadorOriginario", node("pessoaFisica", element("nrCpf", F.col("PF.documento")), element("nmPessoa", F.col("PF.nome")), element("nrReciboDoacao", receipt), element("vrDoacao", money))))
+    account = F.col("conta")
+    to = node("contaBancariaDestino", node("bancoDestino", element("nrBancoOrigem", F.lit("000")), element("agenciaOrigem", F.coalesce(account["agencia"], F.lit("0000"))), element("contaCorrente", F.coalesce(account["conta"], F.lit("0"))), element("dvContaCorrente", F.coalesce(account["dv"], F.lit("0")))))
+    body = [
+        party, element("dtDoacao", F.col("data_movimento")), element("fonteRecurso", F.coalesce("fonte_recurso", F.lit(NO_SOURCE))), node("classificacoesDoacao", element("valorDoacao", money)),
+        element("formaDoacao", F.when(kind.isin(*DONATION_FORMS), kind).otherwise(NO_KIND)), element("operacaoFinanceira", F.when(kind.isin(*OPERATIONS), kind)),
+        element("nrExtratoBancario", number), F.lit("<contaBancariaOrigem></contaBancariaOrigem>"), element("nrDocumento", number), element("nrReciboDoacao", receipt), donor, to,
+    ]
+    error = F.when(F.col("PF").isNull(), "sem pessoa").when(receipt.isNull(), "sem recibo")
+    return d.select("id", "cnpj_prestador", "exercicio", "data_movimento", F.when(error.isNull(), node("doacao", *body)).alias("xml"), error.alias("erro"))
+
+
+# The columns of the approved list's file.
+APPROVED_COLUMNS = ("id", "data_movimento", "valor", "direcao", "pessoa_nome", "pessoa_documento", "cnpj_prestador", "prestador_nome", "descricao_raw", "uf", "status", "sessao_prestacao_id", "confianca_global", "nome_arquivo", "cred_dev")
+
+
+def approved_file(rows: DataFrame) -> DataFrame:
+    """parte and value: the approved list as CSV lines, newest first, headed by a byte order mark and the names.
+
+    Columns that rows lack are empty. Write value as text with the line separator CR LF, in the order given.
+    """
+    cells = [csv_cell(F.col(c)) if c in rows.columns else F.lit("") for c in APPROVED_COLUMNS]
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("parte"), F.lit(None).cast("date").alias("d"), F.lit(None).cast(rows.schema["cnpj_prestador"].dataType).alias("c"), F.lit(None).cast(rows.schema["id"].dataType).alias("i"), F.lit("\ufeff" + ",".join(APPROVED_COLUMNS)).alias("value"))
+    body = rows.select(F.lit(1), "data_movimento", "cnpj_prestador", "id", F.concat_ws(",", *cells))
+    return head.union(body).orderBy("parte", F.desc("d"), "c", "i").select("parte", "value")
+
+
 def csv_lines(df: DataFrame, order: list[str]) -> DataFrame:
     """value: one CSV line for each row, in order; write it as text."""
     return df.orderBy(*order).select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in df.columns]).alias("value"))

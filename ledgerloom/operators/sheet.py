@@ -37,6 +37,32 @@ def chronological(rows: DataFrame, by: tuple[str, ...]) -> list[Column]:
     return [F.col("data_movimento"), hour_minutes(F.col("hora")).asc_nulls_last(), *[F.col(c) for c in by]]
 
 
+# The orders a sheet may take: what stands before the chronological keys, and whether all keys run backwards.
+ORDERS = {"cronologico_asc": ((), False), "cronologico_desc": ((), True), "confianca_desc": (("confianca",), True), "confianca_asc": (("confianca",), False), "valor_desc": (("valor",), True), "valor_asc": (("valor",), False)}
+
+
+def ordering(order: str = "cronologico_asc", by: tuple[str, ...] = ("id",)) -> list[Column]:
+    """Sort keys of a sheet by the order's name; a descending order turns every key round, those that break ties too."""
+    first, backwards = ORDERS.get(order, ORDERS["cronologico_asc"])
+    minutes = hour_minutes(F.col("hora"))
+    keys = [*[F.col(c) for c in (*first, "data_movimento")], minutes, *[F.col(c) for c in by]]
+    if not backwards:
+        return [k.asc_nulls_last() if k is minutes else k.asc() for k in keys]
+    return [k.desc_nulls_first() if k is minutes else k.desc() for k in keys]
+
+
+#: Filters of a sheet by name.
+FILTERS = {
+    "prontas": "estado = 'pronta'", "sem_rd": "length(trim(coalesce(remetente_destinatario, ''))) < 3", "sem_pessoa": "pessoa_id IS NULL",
+    "baixa_confianca": f"confianca < {LOW}", "merge_pendente": "estado = 'merge_pendente'", "extracao_duvidosa": "estado = 'extracao_duvidosa'",
+}
+
+
+def filtered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a sheet that a filter named in FILTERS leaves."""
+    return rows.where(FILTERS[name])
+
+
 def file_summary(rows: DataFrame) -> DataFrame:
     """For each file its lines, ready lines, people and dates."""
     return rows.groupBy("arquivo_id").agg(F.count("*").alias("linhas"), F.count_if(F.col("estado") == "pronta").alias("prontas"), F.count_if(F.col("pessoa_id").isNotNull()).alias("com_pessoa"), F.min("data_movimento").alias("inicio"), F.max("data_movimento").alias("fim"))
