@@ -87,7 +87,9 @@ def rows_of(items: DataFrame, *keys: str) -> DataFrame:
     situacao is linha, or erro for an item with a document that lacks an amount, a direction or a date, or ignorada for
     one without a document and without a name of three characters, an amount or a direction.
     """
-    cpf, cnpj = structured_documents()
+    # Columns of their own, so that the check digits are worked out once a row.
+    items = items.withColumns(dict(zip(("_cpf", "_cnpj"), structured_documents())))
+    cpf, cnpj = F.col("_cpf"), F.col("_cnpj")
     label = F.when(cpf.isNotNull(), F.concat(F.lit("CPF "), cpf)).when(cnpj.isNotNull(), F.concat(F.lit("CNPJ "), cnpj))
     amount, way = amount_br(F.trim("valor")), F.upper(_text("direcao"))
     day = F.when(_text("data").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _text("data").try_cast("date"))
