@@ -82,6 +82,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgement.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.conversations import damaged, repair_findings
+
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_findings(conversations, damaged(conversations))
+
+
+def op13_vectordedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.vectordedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -94,6 +113,9 @@ def queries() -> dict:
         "op8_tokencounts": op8_tokencounts,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
+        "op11_importance": op11_importance,
+        "op12_conversations": op12_conversations,
+        "op13_vectordedup": op13_vectordedup,
     }
 
 
