@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shared import ship, staged
 
-THRESHOLD, MISS, CROWD, GROUP, EPSILON, SEED = 0.95, 1e-4, 64, 4096, 6.0, 13
+THRESHOLD, MISS, CROWD, GROUP, EPSILON, SEED = 0.95, 1e-4, 64, 512, 6.0, 13
 #: Longest key; more bits than 2^40 vectors ask for.
 MOST_BITS = 40
 #: Products taken at once.
@@ -278,6 +278,7 @@ def _links_in_large(held: DataFrame, codes: Codes, threshold: float, group: int)
         return pd.DataFrame({"rep": ids[told], "n": n[told], "least": least[told]})
 
     block = ("component", "chunk", "part")
+    q, p = q.toDF(*q.columns), p.toDF(*p.columns)  # columns of their own: both come from the same table
     met = q.groupBy(*block).cogroup(p.groupBy(*block)).applyInPandas(between, "rep long, n long, least long")
     return by_number.unionByName(met)
 
