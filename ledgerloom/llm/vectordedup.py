@@ -130,6 +130,9 @@ def classes_of_copies(vectors: DataFrame, vec_id: str = "vec_id", vector: str =
     valid = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"), ok.alias("ok")).where("ok").groupBy("vec_id").agg(F.min("v").alias("v"))
     valid = staged(valid, "valid")
     groups = staged(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "copies")
+    sizes = groups.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError("vectors differ in dimension")
     members = valid.join(groups.select("v", "rep"), "v").select("vec_id", "rep")
 
     def unit(batches):
@@ -296,13 +299,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec
     spark = vectors.sparkSession
     ship(spark)
     members, reps = classes_of_copies(vectors, vec_id, vector)
-    facts = reps.agg(F.count("*"), F.min(F.length("x")), F.max(F.length("x"))).first()
+    facts = reps.agg(F.count("*"), F.max(F.length("x"))).first()
     ids = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"))
     everyone = ids.where("vec_id is not null").distinct().unionByName(ids.where("vec_id is null"))
     if not facts[0]:
         return everyone.selectExpr("vec_id", "0L n_links", "vec_id component_id", "CASE WHEN vec_id IS NOT NULL THEN true END kept")
-    if facts[1] != facts[2]:
-        raise ValueError("vectors differ in dimension")
     dimension = facts[1] // 8
     classes = candidate_classes(reps, dimension, facts[0], threshold, miss, crowd, group, seed)
     counts, links = links_in_classes(reps, classes, dimension, threshold, group, seed)
