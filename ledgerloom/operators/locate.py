@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.cells import amount_texts, date_texts, search_amount
-from ledgerloom.functions.documents import compare_names, digits, normalize_name, strip_documents
+from ledgerloom.functions.documents import digits, names_agree, normalize_name, strip_documents
+from ledgerloom.operators.storage import written
 
 #: How far an item may lie from the first one of its line.
 TOLERANCE = 0.02
@@ -39,43 +40,80 @@ def _any_in(text: Column, forms: str) -> Column:
     return F.exists(forms, lambda f: text.contains(f))
 
 
+def _prepared_lines(lines: DataFrame) -> DataFrame:
+    """Page lines with what scoring needs of their text, each worked out once: _nome, _palavras, _digitos, _marcas."""
+    dates = F.regexp_extract_all(F.col("texto"), F.lit(r"(?=([0-9]{2}/[0-9]{2}))"), F.lit(1))
+    ends = F.transform(F.regexp_extract_all(F.col("texto"), F.lit(r"(?=([0-9][.,][0-9]{2}))"), F.lit(1)), lambda e: F.replace(e, F.lit("."), F.lit(",")))
+    return lines.withColumns({"_nome": normalize_name(F.col("texto")), "_palavras": words(F.col("texto")), "_digitos": digits(F.col("texto")), "_marcas": F.array_distinct(F.concat(dates, ends))})
+
+
+def _prepared_wanted(wanted: DataFrame) -> DataFrame:
+    """The ledger lines that can be sought, with the forms and keys that they are sought by."""
+    w = wanted.withColumn("_valor", search_amount(F.col("valor"))).where("_valor IS NOT NULL AND data_movimento IS NOT NULL")
+    w = w.withColumns({"valores": amount_texts(F.col("_valor")), "datas": date_texts(F.col("data_movimento")), "_parte": F.trim(F.coalesce("remetente_destinatario", F.lit("")))})
+    end = F.regexp_extract(F.element_at("valores", 3), r"[0-9]\.[0-9]{2}$", 0)
+    shaped = "^([0-9]{1,2}):([0-9]{2})"
+    hour = F.nullif(F.regexp_extract(F.coalesce("hora", F.lit("")), shaped, 1), F.lit(""))
+    return w.select(
+        "id", "arquivo_id", "relaxa", "valores", "datas",
+        F.array_compact(F.array(F.date_format("data_movimento", "dd/MM"), F.when(F.col("relaxa"), F.replace(end, F.lit("."), F.lit(","))))).alias("_chaves"),
+        digits(F.coalesce("documento", F.lit(""))).alias("_documento"), (F.trim(F.coalesce("documento", F.lit(""))) != "").alias("_tem_documento"),
+        (F.col("_parte") != "").alias("_tem_parte"), normalize_name(F.col("_parte")).alias("_sua_parte"),
+        words(strip_documents(F.concat_ws(" ", F.nullif(F.col("_parte"), F.lit("")), F.nullif(F.trim("descricao_raw"), F.lit(""))))).alias("_procura"),
+        F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.regexp_extract("hora", shaped, 2)).alias("_relogio"),
+    )
+
+
 def scores(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Every page line that a wanted ledger line may stand on, with its points.
 
     wanted: id, arquivo_id, data_movimento, valor (text), descricao_raw, remetente_destinatario, documento, hora and
     relaxa (whether the amount alone is enough). Lines of a file are met through what they hold, a day and month or the
-    amount's end, never all with all; a line without either can't score.
+    amount's end, never all with all; a line without either can't score. What belongs to one side alone is worked out
+    before the sides meet and written down, so that a pair costs comparisons of ready columns; a pair that shares
+    several keys is kept under the first of them.
     """
-    amount = search_amount(F.col("valor"))
-    w = wanted.where(amount.isNotNull() & F.col("data_movimento").isNotNull()).withColumns({"valores": amount_texts(amount), "datas": date_texts(F.col("data_movimento"))})
-    end = F.regexp_extract(F.element_at("valores", 3), r"[0-9]\.[0-9]{2}$", 0)
-    marks_w = F.array_compact(F.array(F.date_format("data_movimento", "dd/MM"), F.when(F.col("relaxa"), F.replace(end, F.lit("."), F.lit(",")))))
-    dates = F.regexp_extract_all(F.col("texto"), F.lit(r"(?=([0-9]{2}/[0-9]{2}))"), F.lit(1))
-    ends = F.transform(F.regexp_extract_all(F.col("texto"), F.lit(r"(?=([0-9][.,][0-9]{2}))"), F.lit(1)), lambda e: F.replace(e, F.lit("."), F.lit(",")))
-    key = ["arquivo_id", "marca"]
-    met = lines.withColumn("marca", F.explode(F.array_distinct(F.concat(dates, ends)))).join(w.withColumn("marca", F.explode(marks_w)), key).drop("marca").dropDuplicates(["id", "pagina", "linha"])
-
-    text, document, party = F.col("texto"), digits(F.coalesce("documento", F.lit(""))), F.trim(F.coalesce("remetente_destinatario", F.lit("")))
-    has_amount, has_date = _any_in(text, "valores"), _any_in(text, "datas")
-    has_document = (F.length(document) >= 4) & digits(text).contains(document)
-    by_document, by_amount = has_document & has_date, has_amount & (has_date | F.col("relaxa"))
-    sought = words(strip_documents(F.concat_ws(" ", F.nullif(party, F.lit("")), F.col("descricao_raw"))))
-    overlap = F.size(F.filter(words(text), lambda t: F.array_contains(sought, t)))
-    name = F.when(party == "", "indefinido").otherwise(compare_names(text, party))
-    hour = F.regexp_extract(F.coalesce("hora", F.lit("")), "^([0-9]{1,2}):([0-9]{2})", 1)
-    clock = F.when(hour != "", F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.regexp_extract("hora", "^([0-9]{1,2}):([0-9]{2})", 2)))
+    left, right = written(_prepared_lines(lines), "page_lines"), written(_prepared_wanted(wanted), "wanted")
+    met = left.withColumn("_marca", F.explode("_marcas")).join(right.withColumn("_marca", F.explode("_chaves")), ["arquivo_id", "_marca"])
+    met = met.where(F.col("_marca") == F.get(F.array_intersect("_chaves", "_marcas"), F.lit(0)))
+    text = F.col("texto")
+    met = met.withColumns({"_com_valor": _any_in(text, "valores"), "_com_data": _any_in(text, "datas"), "_com_documento": (F.length("_documento") >= 4) & F.col("_digitos").contains(F.col("_documento"))})
+    met = met.where("(_com_documento AND _com_data) OR (_com_valor AND (_com_data OR relaxa))")
+    silent = ~F.col("_tem_parte") | (F.length("_nome") <= 3) | (F.length("_sua_parte") <= 3)
+    met = met.withColumn("_mesmo", F.when(silent, None).otherwise(names_agree(F.col("_nome"), F.col("_sua_parte")))).where("coalesce(_mesmo, true)")
     points = (
-        F.when(by_document, BY_DOCUMENT).when(has_date, BY_DATE).otherwise(BY_AMOUNT)
-        + F.when(has_amount, AMOUNT).otherwise(0) + overlap * WORD + F.when(name == "bate", NAME).otherwise(0)
-        + F.when(F.trim(F.coalesce("documento", F.lit(""))) == "", 0).when(has_document, DOCUMENT).when(F.col("relaxa"), 0).otherwise(NO_DOCUMENT)
-        + F.when(F.coalesce(text.contains(clock), F.lit(False)), HOUR).otherwise(0)
+        F.when(F.col("_com_documento") & F.col("_com_data"), BY_DOCUMENT).when(F.col("_com_data"), BY_DATE).otherwise(BY_AMOUNT)
+        + F.when(F.col("_com_valor"), AMOUNT).otherwise(0) + F.size(F.filter("_palavras", lambda t: F.array_contains("_procura", t))) * WORD + F.when(F.col("_mesmo"), NAME).otherwise(0)
+        + F.when(~F.col("_tem_documento"), 0).when(F.col("_com_documento"), DOCUMENT).when(F.col("relaxa"), 0).otherwise(NO_DOCUMENT)
+        + F.when(F.coalesce(text.contains(F.col("_relogio")), F.lit(False)), HOUR).otherwise(0)
     )
-    return met.where(by_document | by_amount).where(name != "difere").select("id", "arquivo_id", "pagina", "linha", "caixa", points.alias("pontos"))
+    return met.select("id", "arquivo_id", "pagina", "linha", "caixa", points.alias("pontos"))
+
+
+def _why(found: Column) -> Column:
+    return F.when(search_amount(F.col("valor")).isNull(), "Valor inválido").when(F.col("data_movimento").isNull(), "Data inválida").when(~found, "Nenhuma linha com valor e data na mesma linha")
 
 
 def located(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, pagina, caixa, pontos and motivo for every wanted line: the best page line, the first of equals, or why there is none."""
-    best = scores(lines, wanted).where("pontos >= 1").withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("pontos"), "pagina", "linha"))).where("_k = 1")
-    d = wanted.join(best.select("id", "pagina", "caixa", "pontos"), "id", "left")
-    why = F.when(search_amount(F.col("valor")).isNull(), "Valor inválido").when(F.col("data_movimento").isNull(), "Data inválida").when(F.col("pontos").isNull(), "Nenhuma linha com valor e data na mesma linha")
-    return d.select("id", "pagina", "caixa", "pontos", why.alias("motivo"))
+    at = F.struct((-F.col("pontos")).alias("p"), "pagina", "linha")
+    best = scores(lines, wanted).where("pontos >= 1").groupBy("id").agg(F.min_by(F.struct("pagina", "caixa", "pontos"), at).alias("b"))
+    return wanted.join(best, "id", "left").select("id", "b.pagina", "b.caixa", "b.pontos", _why(F.col("b").isNotNull()).alias("motivo"))
+
+
+def anchored(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, pagina, caixa, pontos, ancoragem and motivo of wanted lines, which also have their declared pagina and whether they are
+    anchored already (ancorada: these are left out).
+
+    The pages that any sought line of a file declares are searched first, all pages for lines that these do not hold.
+    Both searches are one: each page line is scored once and those on declared pages stand before the rest. A line that
+    is nowhere keeps its declared page, loses its box and is nao_localizado.
+    """
+    sought = wanted.where("NOT coalesce(ancorada, false)").withColumnRenamed("pagina", "_declarada")
+    pages = sought.where("_declarada >= 1").select("arquivo_id", F.col("_declarada").alias("pagina")).distinct().withColumn("_dita", F.lit(True))
+    found = scores(lines, sought).where("pontos >= 1").join(pages, ["arquivo_id", "pagina"], "left")
+    at = F.struct(F.col("_dita").isNull().alias("d"), (-F.col("pontos")).alias("p"), "pagina", "linha")
+    best = found.groupBy("id").agg(F.min_by(F.struct("pagina", "caixa", "pontos"), at).alias("b"))
+    d = sought.join(best, "id", "left")
+    there = F.col("b").isNotNull()
+    return d.select("id", F.coalesce("b.pagina", "_declarada").alias("pagina"), "b.caixa", "b.pontos", F.when(there, "text_layer").otherwise("nao_localizado").alias("ancoragem"), _why(there).alias("motivo"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import cells as C
 from ledgerloom.operators import export, extraction, ledger, locate, mutations, sheet
+from ledgerloom.operators.storage import written
 from ledgerloom.plans.registered import SHEET, query
 
 CODE = r"regexp_full_match(trim(coalesce(descricao, '')), '[A-Z0-9][A-Z0-9\s.\-/]{2,14}')"
@@ -161,16 +162,46 @@ SELECT id, '<gasto><pessoa>' || CASE WHEN jd IS NOT NULL THEN '<pessoaJuridica><
   CASE WHEN id % 7 = 0 THEN '' ELSE '<situacao1><descricaoResumida>' || texto || '</descricaoResumida></situacao1>' END || '</gastoContaContabil></classificacaoGasto></gasto>' AS xml, CASE WHEN jd IS NULL AND fd IS NULL THEN 'sem pessoa' END AS erro FROM g""")(_spending)
 
 
+# A statement of 200 lines is a file of eight pages.
+
+
 def _statement(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Text items of pages and the ledger lines to be found on them, from extracted items."""
-    rows = extraction.rows_of(extraction.normalised(items), "id", "arquivo_id", "pagina").where("situacao = 'linha'")
-    y = (F.col("id") % 31 + 1).cast("double") / 33
-    parts = F.array(F.date_format("data_movimento", "dd/MM/yyyy"), F.coalesce("remetente_destinatario", F.lit("SEM NOME")), F.element_at(C.amount_texts(F.col("valor")), 1))
-    texts = rows.select("arquivo_id", "pagina", y.alias("y"), F.posexplode(parts).alias("k", "str"))
-    texts = texts.select("arquivo_id", "pagina", (F.col("k") * 0.3).alias("x"), "y", F.lit(0.2).alias("width"), F.lit(0.01).alias("height"), "str")
-    wanted = rows.select("id", "arquivo_id", "data_movimento", F.col("valor").cast("string").alias("valor"), "descricao_raw", "remetente_destinatario", F.lit(None).cast("string").alias("documento"), F.lit(None).cast("string").alias("hora"), (F.col("id") % 2 == 0).alias("relaxa"))
+    rows = extraction.rows_of(extraction.normalised(items), "id", "hora").where("situacao = 'linha'")
+    rows = written(rows.selectExpr("*", "id div 200 _file", "id % 200 _at", "CASE WHEN id % 5 < 2 THEN cast(id % 200 + 4000 AS string) END _doc"), "statement")
+    page = F.expr("cast(_at div 25 + 1 AS int)")
+    parts = F.array_compact(F.array(F.date_format("data_movimento", "dd/MM/yyyy"), F.coalesce("remetente_destinatario", F.lit("SEM NOME")), F.element_at(C.amount_texts(F.col("valor")), 1), F.when(F.col("id") % 6 == 0, F.col("hora")), F.when(F.col("id") % 5 == 0, F.col("_doc"))))
+    texts = rows.select(F.col("_file").alias("arquivo_id"), page.alias("pagina"), F.expr("(_at % 25 + 1) / 27D").alias("y"), F.posexplode(parts).alias("k", "str"))
+    texts = texts.select("arquivo_id", "pagina", (F.col("k") * 0.2).alias("x"), "y", F.lit(0.2).alias("width"), F.lit(0.01).alias("height"), "str")
+    declared = F.when(F.col("id") % 7 != 3, page).otherwise(F.lit(None).cast("int"))
+    wanted = rows.select("id", F.col("_file").alias("arquivo_id"), declared.alias("pagina"), "data_movimento", F.col("valor").cast("string").alias("valor"), "descricao_raw", "remetente_destinatario", F.col("_doc").alias("documento"), "hora", (F.col("_file") % 2 == 0).alias("relaxa"), (F.col("id") % 9 == 0).alias("ancorada"))
     return texts, wanted
 
 
-query("pdf_line_locate", "item")(lambda i: locate.located(locate.page_lines((t := _statement(i))[0]), t[1]).select("id", "pagina", "pontos", "motivo"))
+def _tokens(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(strip_accents({c})), '[^a-z0-9]+'), lambda t: length(t) > 1)"
+
+
+# The page lines and the sought lines, paired within a file, and the points by the score table.
+LOCATE = ROWS + rf""", g AS (SELECT id, hora, CAST(data AS DATE) AS dia, CAST(abs(v) AS DECIMAL(15,2)) AS valor, raw, CASE WHEN length(rd) >= 3 THEN upper(strip_accents(rd)) END AS parte, id AS lugar FROM r WHERE estado = 'linha'),
+st AS (SELECT id, lugar // 200 AS arquivo, lugar % 200 AS em, (lugar % 200) // 25 + 1 AS pagina, dia, valor, raw, parte, hora, CASE WHEN id % 5 < 2 THEN CAST(lugar % 200 + 4000 AS VARCHAR) END AS doc FROM g),
+fm AS (SELECT *, replace(CAST(valor AS VARCHAR), '.', ',') AS virgula FROM st),
+gr AS (SELECT *, CASE WHEN valor >= 1000 THEN left(virgula, length(virgula) - 6) || '.' || right(virgula, 6) ELSE virgula END AS milhar FROM fm),
+pl AS (SELECT arquivo, pagina, em % 25 AS linha, strftime(dia, '%d/%m/%Y') || ' ' || coalesce(parte, 'SEM NOME') || ' ' || milhar || CASE WHEN id % 6 = 0 AND hora IS NOT NULL THEN ' ' || hora ELSE '' END || CASE WHEN id % 5 = 0 THEN ' ' || doc ELSE '' END AS texto FROM gr),
+wa AS (SELECT *, arquivo % 2 = 0 AS relaxa, {_tokens(r"regexp_replace(regexp_replace(concat_ws(' ', parte, nullif(trim(raw), '')), '([0-9]{14}|[0-9]{11})', '', 'g'), '(?i)(CPF|CNPJ)[:\s]*', '', 'g')")} AS procura FROM gr),
+jn AS (SELECT wa.*, pl.pagina AS onde, pl.linha, pl.texto, contains(pl.texto, virgula) OR contains(pl.texto, milhar) OR contains(pl.texto, CAST(valor AS VARCHAR)) AS cv, contains(pl.texto, strftime(dia, '%d/%m')) AS cd, doc IS NOT NULL AND contains(regexp_replace(pl.texto, '[^0-9]', '', 'g'), doc) AS cc,
+  CASE WHEN length(parte) > 3 THEN contains(pl.texto, parte) END AS mesmo FROM wa JOIN pl ON wa.arquivo = pl.arquivo),
+sc AS (SELECT *, CASE WHEN cc AND cd THEN 25 WHEN cd THEN 10 ELSE 1 END + CASE WHEN cv THEN 5 ELSE 0 END + 5 * len(list_filter({_tokens("texto")}, lambda t: list_contains(procura, t))) + CASE WHEN mesmo THEN 50 ELSE 0 END
+  + CASE WHEN doc IS NULL THEN 0 WHEN cc THEN 40 WHEN relaxa THEN 0 ELSE -5 END + CASE WHEN hora IS NOT NULL AND contains(texto, hora) THEN 15 ELSE 0 END AS pontos
+  FROM jn WHERE ((cc AND cd) OR (cv AND (cd OR relaxa))) AND coalesce(mesmo, true))
+"""
+query("pdf_line_locate", "item", LOCATE + """, mm AS (SELECT id, onde, pontos, row_number() OVER (PARTITION BY id ORDER BY pontos DESC, onde, linha) AS k FROM sc WHERE pontos >= 1)
+SELECT st.id, CAST(onde AS INT) AS pagina, CAST(pontos AS INT) AS pontos, CASE WHEN pontos IS NULL THEN 'Nenhuma linha com valor e data na mesma linha' END AS motivo FROM st LEFT JOIN mm ON st.id = mm.id AND k = 1""")(
+    lambda i: locate.located(locate.page_lines((t := _statement(i))[0]), t[1].drop("pagina", "ancorada")).select("id", "pagina", "pontos", "motivo")
+)
+query("pdf_anchor", "item", LOCATE + """, ds AS (SELECT DISTINCT arquivo, pagina FROM st WHERE id % 9 <> 0 AND id % 7 <> 3),
+mm AS (SELECT sc.id, onde, pontos, row_number() OVER (PARTITION BY sc.id ORDER BY ds.pagina IS NULL, pontos DESC, onde, linha) AS k FROM sc LEFT JOIN ds ON sc.arquivo = ds.arquivo AND sc.onde = ds.pagina WHERE pontos >= 1)
+SELECT st.id, CAST(coalesce(onde, CASE WHEN st.id % 7 <> 3 THEN pagina END) AS INT) AS pagina, CAST(pontos AS INT) AS pontos, CASE WHEN pontos IS NULL THEN 'nao_localizado' ELSE 'text_layer' END AS ancoragem FROM st LEFT JOIN mm ON st.id = mm.id AND k = 1 WHERE st.id % 9 <> 0""")(
+    lambda i: locate.anchored(locate.page_lines((t := _statement(i))[0]), t[1]).select("id", "pagina", "pontos", "ancoragem")
+)
 query("approved_file", "movimentacao pessoa prestador")(lambda m, p, r: export.approved_file(ledger.described(ledger.approved(m), p, r).withColumnsRenamed({"documento": "pessoa_documento", "confianca": "confianca_global"})))

@@ -148,3 +148,9 @@ def test_entry_has_rows_and_every_sql_has_a_query(spark):
 
     assert __spark_entry__.entry(spark).count() == registered.queries()["approved_list"](spark, SF).count() > 0
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
+@pytest.mark.parametrize("name", sorted(set(registered.QUERIES) - set(registered.SQL)))
+def test_queries_without_sql_run_whole(spark, name):
+    found = registered.queries()[name](spark, SF)
+    assert found.count() > 0
