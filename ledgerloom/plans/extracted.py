@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import cells as C
-from ledgerloom.operators import export, extraction, ledger, locate, mutations, sheet
+from ledgerloom.operators import export, extraction, ledger, locate, mutations
 from ledgerloom.operators.storage import written
-from ledgerloom.plans.registered import SHEET, query
+from ledgerloom.plans.registered import query
 
 CODE = r"regexp_full_match(trim(coalesce(descricao, '')), '[A-Z0-9][A-Z0-9\s.\-/]{2,14}')"
 NUMBER = "regexp_replace(coalesce(cpf_cnpj, ''), '[^0-9]', '', 'g')"
@@ -129,21 +127,6 @@ query("purge_sessions", "movimentacao evidencia", "SELECT movimentacao_id, tipo,
     lambda m, e: mutations.purged({"mov": m, "ev": e}, {"mov": "id", "ev": "movimentacao_id"}, "mov", m.where("sessao_id % 3 = 0"))["ev"]
 )
 query("batch_approvable", "movimentacao", "SELECT id FROM movimentacao WHERE status = 'PENDENTE_REVISAO' AND confianca >= 0.85 AND pessoa_id IS NOT NULL")(lambda m: mutations.batch_approvable(m).select("id"))
-_MINUTES = "CAST(substr(hora, 1, 2) AS INT) * 60 + CAST(substr(hora, 4, 2) AS INT)"
-
-
-def _orders(m: DataFrame) -> DataFrame:
-    rows = sheet.sheet(m)
-    each = [rows.select("id", F.lit(o).alias("ordenacao"), F.row_number().over(Window.partitionBy("sessao_id").orderBy(*sheet.ordering(o))).alias("posicao")) for o in sheet.ORDERS]
-    return reduce(DataFrame.union, each)
-
-
-query("sheet_orders", "movimentacao", SHEET + " UNION ALL ".join(
-    f"SELECT id, '{o}' AS ordenacao, row_number() OVER (PARTITION BY sessao_id ORDER BY {', '.join(f'{c} {d}' for c in first)}{', ' if first else ''}data_movimento {d}, {_MINUTES} {d} NULLS {n}, id {d}) AS posicao FROM s"
-    for o, (first, back) in sheet.ORDERS.items() for d, n in [("DESC", "FIRST") if back else ("ASC", "LAST")]
-))(_orders)
-
-
 def _spending(m: DataFrame, c: DataFrame, p: DataFrame) -> DataFrame:
     lines = m.withColumn("pessoa_juridica_id", F.when(F.col("id") % 4 == 1, F.col("id") % 10 + 1))
     more = c.withColumns({

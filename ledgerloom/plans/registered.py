@@ -208,16 +208,6 @@ SELECT coalesce(a.data_movimento, b.data_movimento) AS data_movimento, coalesce(
 FROM (SELECT * FROM r WHERE papel = 'PIX') a FULL JOIN (SELECT * FROM r WHERE papel = 'COMPLETO') b ON a.data_movimento = b.data_movimento AND a.valor = b.valor AND a.direcao = b.direcao AND a.k = b.k""")(
     lambda lines: ingest.consensus(lines.where("papel = 'PIX'"), lines.where("papel = 'COMPLETO'"), ["data_movimento", "valor", "direcao"])
 )
-SHEET = """, s AS (SELECT *, CASE WHEN confianca < 0.1 AND status <> 'CONFIRMADO' AND pessoa_id IS NULL THEN 'extracao_duvidosa' WHEN status = 'PENDENTE_REVISAO' AND arquivo_id < 2 THEN 'merge_pendente' WHEN pessoa_id IS NOT NULL AND confianca >= 0.6 THEN 'pronta' ELSE 'pendente' END AS estado
-FROM movimentacao WHERE NOT deletado AND canonica_id IS NULL)
-"""
-query("sheet_status", "movimentacao", SHEET + "SELECT id, estado FROM s")(lambda m: sheet.sheet(m).select("id", "estado"))
-query("sheet_summary", "movimentacao", SHEET + """SELECT sessao_id, count(*) AS total, count(*) FILTER (WHERE estado = 'pronta') AS prontas, count(*) FILTER (WHERE pessoa_id IS NULL) AS sem_pessoa, count(*) FILTER (WHERE confianca < 0.6) AS baixa_confianca,
-  count(*) FILTER (WHERE estado = 'merge_pendente') AS merge_pendente, count(*) FILTER (WHERE estado = 'extracao_duvidosa') AS extracao_duvidosa, count(*) FILTER (WHERE estado = 'pronta') = count(*) AS exportavel FROM s GROUP BY sessao_id""")(lambda m: sheet.summary(sheet.sheet(m), "sessao_id"))
-query("sheet_order", "movimentacao", SHEET + """SELECT id, sessao_id, row_number() OVER (PARTITION BY sessao_id ORDER BY data_movimento, CAST(substr(hora, 1, 2) AS INT) NULLS LAST, id) AS posicao FROM s""")(
-    lambda m: sheet.sheet(m).select("id", "sessao_id", F.row_number().over(Window.partitionBy("sessao_id").orderBy(*sheet.chronological(m, ("id",)))).cast("long").alias("posicao"))
-)
-query("file_summary", "movimentacao", SHEET + "SELECT arquivo_id, count(*) AS linhas, count(*) FILTER (WHERE estado = 'pronta') AS prontas, count(pessoa_id) AS com_pessoa, min(data_movimento) AS inicio, max(data_movimento) AS fim FROM s GROUP BY arquivo_id")(lambda m: sheet.file_summary(sheet.sheet(m)))
 query("conflict_analysis", "movimentacao", """
 SELECT id, CASE WHEN bloqueio_export THEN 'bloqueado' WHEN pessoa_id IS NULL OR confianca < 0.6 THEN 'revisar' ELSE 'pronto' END AS situacao,
   concat_ws(',', CASE WHEN pessoa_id IS NULL THEN 'sem_pessoa' END, CASE WHEN bloqueio_export THEN 'bloqueio' END, CASE WHEN confianca < 0.6 THEN 'baixa_confianca' END) AS achados,
@@ -266,7 +256,7 @@ _table("ofx_parse", "orders", lambda o: ofx.parse(o.select(F.col("o_orderkey").c
 SELECT CAST(o_orderkey AS VARCHAR) AS arquivo, 1 AS posicao, CAST(o_orderdate AS DATE) AS data_movimento, CAST(o_totalprice AS DECIMAL(15,2)) AS valor, CASE WHEN o_orderkey % 3 = 0 THEN 'SAIDA' ELSE 'ENTRADA' END AS direcao, o_orderpriority AS descricao_raw, CAST(o_orderkey AS VARCHAR) AS nr_extrato_bancario FROM orders""")
 
 
-from ledgerloom.plans import approvals, extracted  # noqa: E402, F401 - they register their queries with query() above
+from ledgerloom.plans import approvals, extracted, sheets  # noqa: E402, F401 - they register their queries with query() above
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import cells as C
 from ledgerloom.operators import export, extraction, locate, mutations, registry, sheet
+from ledgerloom.plans import sheets
 from ledgerloom.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -124,11 +125,29 @@ def test_approved_file(spark):
 
 
 def test_filters_counters_and_empty_logs(spark):
-    m = view(spark, SF, "movimentacao").withColumn("remetente_destinatario", F.lit(" x "))
-    rows = sheet.sheet(m)
-    assert sheet.filtered(rows, "sem_rd").count() == rows.count() and sheet.filtered(rows, "prontas").count() == rows.where("estado = 'pronta'").count()
+    m = view(spark, SF, "movimentacao")
+    rows = sheets.rows(m, view(spark, SF, "pessoa")).cache()
+    held = [r.asDict() for r in rows.collect()]
+    want = {
+        "prontas": lambda r: r["estado"] == "pronta", "sem_rd": lambda r: len((r["remetente_destinatario"] or "").strip()) < 3, "sem_pessoa": lambda r: r["pessoa"] is None,
+        "baixa_confianca": lambda r: r["confianca"] < 0.6, "merge_pendente": lambda r: r["estado"] == "merge_pendente", "extracao_duvidosa": lambda r: r["estado"] == "extracao_duvidosa",
+    }
+    assert want.keys() == sheet.FILTERS.keys()
+    for name, holds in want.items():
+        assert 0 < sheet.filtered(rows, name).count() == sum(map(holds, held)) < len(held)
     actions = registry.classify_upserts(spark.createDataFrame([("1", "ANA", False)], "documento string, nome string, deletado boolean"), spark.createDataFrame([("1", "Ana", 1), ("2", "Bia", 2), ("1", "Rui", 3)], "documento string, nome string, ordem int"))
     assert {r.contador: r.n for r in mutations.import_counters(actions).collect()} == {"inseridos": 1, "atualizados": 0, "ignorados": 1, "conflitos": 1}
     log = spark.createDataFrame([], "id long, campo string, valor string, ordem int")
     few = m.select("id", "pessoa_id")
     assert mutations.edited(few, log, ("pessoa_id",)).exceptAll(few).count() == 0
+
+
+def test_hours_of_a_sheet_as_seconds(spark):
+    texts = ["10:07", " 9:30 ", "08:05:30", "7", "", "cedo", "10:xx", None]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", sheet.seconds_of(F.col("t")).alias("s")).orderBy("k").collect()
+    assert [r.s for r in found] == [36420, 34200, 29130, 25200, 0, None, None, None]
+
+
+def test_first_values_of_fields_win(spark):
+    parts = spark.createDataFrame([(1, 0, {"a": "", "b": "x", "c": None}), (1, 1, {"a": "y", "b": "z"}), (1, 2, {"a": "w", "c": " "}), (2, 0, {}), (3, 0, None)], "k int, n int, m map<string,string>")
+    assert {r.k: r.campos for r in sheet.merged_fields(parts, "k", "m", "n").collect()} == {1: {"a": "y", "b": "x", "c": " "}}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import documents as D
 from ledgerloom.functions import fields as X
 from ledgerloom.operators import consolidate, export, ingest, sheet
-from ledgerloom.plans import registered
+from ledgerloom.plans import registered, sheets
 from ledgerloom.plans.views import TABLES, view
 from ledgerloom.sources import ofx, registry_csv
 
@@ -138,7 +138,7 @@ def test_documents_and_csv(spark):
 
 def test_empty_tables_give_empty_results(spark):
     m = view(spark, SF, "movimentacao").limit(0)
-    assert sheet.summary(sheet.sheet(m), "sessao_id").count() == 0
+    assert sheet.summary(sheets.rows(m, view(spark, SF, "pessoa")), "sessao_id").count() == 0
     assert consolidate.candidate_pairs(view(spark, SF, "linha").limit(0)).count() == 0
     assert not math.isnan(ingest.BALANCE_TOLERANCE)
 
