@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,20 +55,27 @@ def person_type(c: Column) -> Column:
     return F.try_element_at(known, key)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def number_cell(c: Column) -> Column:
     """The text of a numeric cell: its integer digits, padded to a document's length where leading zeros went missing."""
-    digits = F.abs(c.cast("decimal(38,0)")).cast("string")
-    n = F.length(digits)
-    return F.when(n.between(7, 10), F.lpad(digits, 11, "0")).when(n.between(12, 13), F.lpad(digits, 14, "0")).otherwise(digits)
+    padded = lambda d: F.when(F.length(d).between(7, 10), F.lpad(d, 11, "0")).when(F.length(d).between(12, 13), F.lpad(d, 14, "0")).otherwise(d)
+    return let(F.abs(c.cast("decimal(38,0)")).cast("string"), padded)
 
 
 def text_cell(c: Column) -> Column:
     """The text of a cell: trimmed, numbers in scientific notation written out, a decimal part of zeros dropped; null is empty."""
-    text = F.trim(F.coalesce(c, F.lit("")))
-    number = F.abs(F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))
-    whole = F.when(number < 1e18, F.floor(number).cast("decimal(38,0)")).when(number < 1e38, number.cast("decimal(38,0)"))
-    scientific = text.rlike(r"^[+-]?[0-9]+[,.]?[0-9]*[eE][+-]?[0-9]+$") & whole.isNotNull()
-    return F.when(scientific, number_cell(whole)).when(text.rlike("^[0-9]+[,.]0+$"), F.regexp_replace(text, "[,.]0+$", "")).otherwise(text)
+
+    def written_out(text: Column) -> Column:
+        number = F.abs(F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))
+        whole = let(number, lambda n: F.when(n < 1e18, F.floor(n).cast("decimal(38,0)")).when(n < 1e38, n.cast("decimal(38,0)")))
+        scientific = F.when(text.rlike(r"^[+-]?[0-9]+[,.]?[0-9]*[eE][+-]?[0-9]+$"), number_cell(whole))
+        return F.coalesce(scientific, F.when(text.rlike("^[0-9]+[,.]0+$"), F.regexp_replace(text, "[,.]0+$", "")).otherwise(text))
+
+    return let(F.trim(F.coalesce(c, F.lit(""))), written_out)
 
 
 def prepared_document(c: Column, tipo: Column | None = None) -> Column:
@@ -75,19 +84,22 @@ def prepared_document(c: Column, tipo: Column | None = None) -> Column:
     Label, blanks and marks go. Without a type given, up to 11 characters are a CPF and up to 14 a CNPJ. A CPF is padded
     to 11 digits, an all-digit CNPJ of 12 or more to 14.
     """
-    bare = F.regexp_replace(text_cell(c), r"[\s\x{00A0}\x{2007}\x{202F}]+", "")
-    bare = F.regexp_replace(bare, r"(?i)^(cpf|cnpj)[:#.]?", "")
-    bare = F.when(bare.rlike("^[0-9]+[,.]0+$"), F.regexp_replace(bare, "[,.]0+$", "")).otherwise(bare)
-    clean = F.regexp_replace(bare, "[^A-Za-z0-9]", "")
-    n = F.length(clean)
-    guessed = F.when(n <= 11, "PF").when(n <= 14, "PJ")
-    kind = guessed if tipo is None else F.coalesce(tipo, guessed)
-    cpf, cnpj = F.regexp_replace(clean, "[^0-9]", ""), F.upper(clean)
-    digits_only = cnpj.rlike("^[0-9]+$")
-    sized = F.when(kind == "PF", F.length(cpf) <= 11).when(kind == "PJ", (n <= 14) & (~digits_only | (n >= 12)))
-    error = F.when(clean == "", "Documento vazio").when(~F.coalesce(sized, F.lit(False)), "Documento com tamanho inválido")
-    document = F.when(kind == "PF", F.lpad(cpf, 11, "0")).when(digits_only, F.lpad(cnpj, 14, "0")).otherwise(cnpj)
-    return F.struct(F.when(error.isNull(), kind).alias("tipo"), F.when(error.isNull(), document).alias("documento"), error.alias("erro"))
+
+    def sized(clean: Column) -> Column:
+        n = F.length(clean)
+        guessed = F.when(n <= 11, "PF").when(n <= 14, "PJ")
+        kind = guessed if tipo is None else F.coalesce(tipo, guessed)
+        cpf, cnpj = F.regexp_replace(clean, "[^0-9]", ""), F.upper(clean)
+        digits_only = cnpj.rlike("^[0-9]+$")
+        fits = F.when(kind == "PF", F.length(cpf) <= 11).when(kind == "PJ", (n <= 14) & (~digits_only | (n >= 12)))
+        error = F.when(clean == "", "Documento vazio").when(~F.coalesce(fits, F.lit(False)), "Documento com tamanho inválido")
+        document = F.when(kind == "PF", F.lpad(cpf, 11, "0")).when(digits_only, F.lpad(cnpj, 14, "0")).otherwise(cnpj)
+        found = F.struct(kind.alias("tipo"), document.alias("documento"), error.alias("erro"))
+        return let(found, lambda f: F.struct(F.when(f["erro"].isNull(), f["tipo"]).alias("tipo"), F.when(f["erro"].isNull(), f["documento"]).alias("documento"), f["erro"].alias("erro")))
+
+    bare = F.regexp_replace(F.regexp_replace(text_cell(c), r"[\s\x{00A0}\x{2007}\x{202F}]+", ""), r"(?i)^(cpf|cnpj)[:#.]?", "")
+    bare = let(bare, lambda b: F.when(b.rlike("^[0-9]+[,.]0+$"), F.regexp_replace(b, "[,.]0+$", "")).otherwise(b))
+    return let(F.regexp_replace(bare, "[^A-Za-z0-9]", ""), sized)
 
 
 def suggested_name(description: Column) -> Column:

@@ -130,3 +130,52 @@ def approved_file(rows: DataFrame) -> DataFrame:
 def csv_lines(df: DataFrame, order: list[str]) -> DataFrame:
     """value: one CSV line for each row, in order; write it as text."""
     return df.orderBy(*order).select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in df.columns]).alias("value"))
+
+
+# Sheets of the audit workbook, their titles, and the columns behind those that aren't of that name.
+MIRROR = {
+    "Origem": ("data", "valor", "direcao", "descricao", "cred_dev", "fonte_recurso", "natureza_recurso", "tipo_origem_recurso", "classificacao_receita"),
+    "Aplicacao": ("data", "valor", "direcao", "descricao", "cred_dev", "cd_descricao_gasto", "tipo_documento", "nr_documento"),
+    "Doacao": ("data", "valor", "descricao", "nr_recibo_doacao"),
+}
+MIRRORED = {"data": "data_movimento", "descricao": "descricao_raw"}
+
+
+def text_cells(*columns: Column) -> Column:
+    """An array of text cells; nulls are empty texts."""
+    return F.array(*[F.struct(F.lit("texto").alias("tipo"), F.coalesce(c.cast("string"), F.lit("")).alias("texto")) for c in columns])
+
+
+#: The order in which rows of mirror_rows() and approved_rows() are written.
+BOOK_ORDER = ("_folha", "_parte", "_chave")
+
+
+def _titled(rows: DataFrame, books: DataFrame, sheet: str, at: int, titles: tuple[str, ...]) -> DataFrame:
+    """rows (arquivo, _chave, celulas) of one sheet under its titles, which every workbook gets."""
+    head = books.select("arquivo", F.lit(None).cast(rows.schema["_chave"].dataType).alias("_chave"), text_cells(*map(F.lit, titles)).alias("celulas"), F.lit(0).alias("_parte"))
+    return head.unionByName(rows.withColumn("_parte", F.lit(1))).withColumns({"planilha": F.lit(sheet), "_folha": F.lit(at)})
+
+
+def mirror_rows(ledger: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the audit workbooks, one workbook for each filing entity and year: arquivo, planilha, celulas and BOOK_ORDER.
+
+    Confirmed lines with their classification, if any: incoming ones in Origem, those of them with a receipt in Doacao
+    too, all others in Aplicacao; by date and id.
+    """
+    d = ledger.where("status = 'CONFIRMADO'").join(classes.withColumnRenamed("movimentacao_id", "id"), "id", "left")
+    d = d.withColumn("arquivo", F.concat_ws("_", F.lit("espelho"), F.col("cnpj_prestador").cast("string"), F.concat(F.col("exercicio").cast("string"), F.lit(".xlsx"))))
+    books = d.select("arquivo").distinct()
+    of = {"Origem": "direcao = 'ENTRADA'", "Aplicacao": "direcao IS DISTINCT FROM 'ENTRADA'", "Doacao": "direcao = 'ENTRADA' AND nr_recibo_doacao <> ''"}
+    sheets = [_titled(d.where(of[s]).select("arquivo", F.struct("data_movimento", "id").alias("_chave"), text_cells(*[F.col(MIRRORED.get(t, t)) for t in titles]).alias("celulas")), books, s, k, titles) for k, (s, titles) in enumerate(MIRROR.items())]
+    return sheets[0].unionByName(sheets[1]).unionByName(sheets[2])
+
+
+def approved_rows(rows: DataFrame, *by: str, titles: tuple[str, ...] = APPROVED_COLUMNS) -> DataFrame:
+    """Rows of workbooks of approved lines, one for each value of by, with one sheet; newest first, then by filing entity and id.
+
+    Columns that rows lack are empty.
+    """
+    d = rows.withColumn("arquivo", F.concat(F.concat_ws("_", F.lit("movimentacoes"), *[F.col(c).cast("string") for c in by]), F.lit(".xlsx")))
+    key = F.struct((-F.unix_date("data_movimento")).alias("dia"), "cnpj_prestador", "id")
+    lines = d.select("arquivo", key.alias("_chave"), text_cells(*[F.col(t) if t in rows.columns else F.lit("") for t in titles]).alias("celulas"))
+    return _titled(lines, d.select("arquivo").distinct(), "Movimentacoes", 0, titles)

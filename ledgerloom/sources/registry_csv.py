@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.documents import normalize_cnpj, normalize_cpf, normalize_name
-
-# Headers that name each field, as header keys.
-ALIASES = {"documento": ("documento", "cpf", "cnpj", "cpf_cnpj", "doc"), "nome": ("nome", "razao_social", "nome_completo"), "tipo": ("tipo", "tipo_pessoa")}
+from ledgerloom.sources import sheets
 
 
 def validated(rows: DataFrame) -> DataFrame:
@@ -22,12 +20,15 @@ def validated(rows: DataFrame) -> DataFrame:
     return rows.select("linha", tipo.alias("tipo"), documento.alias("documento"), name.alias("nome"), error.alias("erro"))
 
 
-def read(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """The rows of a CSV with a header, found by its aliases; lines are numbered from 2 in the file's order."""
-    raw = spark.read.option("header", True).option("sep", separator).option("quote", "").csv(path)
-    keys = {"_".join(c.lower().split()): c for c in raw.columns}
-    found = {f: next((keys[a] for a in names if a in keys), None) for f, names in ALIASES.items()}
-    if not (found["documento"] and found["nome"]):
-        raise ValueError(f"a registry needs documento and nome; it has {raw.columns}")
-    numbered = raw.withColumn("linha", F.monotonically_increasing_id() + 2)
-    return validated(numbered.select("linha", F.col(f"`{found['documento']}`").alias("documento"), F.col(f"`{found['nome']}`").alias("nome")))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the CSV files under a path, with headers found by aliases and each file's own separator (sheets.csv_cells).
+
+    Lines are numbered in the file's order, the header being the first; blank ones are not counted.
+    """
+    cells = sheets.csv_cells(spark, path)
+    heads = sheets.registry_heads(cells, headerless=False)
+    lost = heads.where("_erro IS NOT NULL").first()
+    if lost:
+        raise ValueError(f"a registry needs documento and nome; {lost.arquivo}: {lost._erro}")
+    rows = cells.where("linha > 1").join(heads, "arquivo")
+    return validated(rows.select("linha", F.get("celulas", F.col("_documento"))["texto"].alias("documento"), F.get("celulas", F.col("_nome"))["texto"].alias("nome")))
