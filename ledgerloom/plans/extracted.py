@@ -150,7 +150,8 @@ SELECT id, '<gasto><pessoa>' || CASE WHEN jd IS NOT NULL THEN '<pessoaJuridica><
 
 def _statement(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Text items of pages and the ledger lines to be found on them, from extracted items."""
-    rows = extraction.rows_of(extraction.normalised(items), "id", "hora").where("situacao = 'linha'")
+    # Written before it is filtered: a filter pushed down would take the state's expression anew for each column.
+    rows = written(extraction.rows_of(extraction.normalised(items), "id", "hora"), "rows").where("situacao = 'linha'")
     rows = written(rows.selectExpr("*", "id div 200 _file", "id % 200 _at", "CASE WHEN id % 5 < 2 THEN cast(id % 200 + 4000 AS string) END _doc"), "statement")
     page = F.expr("cast(_at div 25 + 1 AS int)")
     parts = F.array_compact(F.array(F.date_format("data_movimento", "dd/MM/yyyy"), F.coalesce("remetente_destinatario", F.lit("SEM NOME")), F.element_at(C.amount_texts(F.col("valor")), 1), F.when(F.col("id") % 6 == 0, F.col("hora")), F.when(F.col("id") % 5 == 0, F.col("_doc"))))
