@@ -195,7 +195,10 @@ def scan(text: str | None) -> tuple:
             at = padded.find(needle, at + 1)
     found = detect(joined.decode("utf-8", "surrogatepass")) if any(a in joined for a in _ANCHORS) else []
     doubt = 0.2 if base else 1.0
-    for weight in {d.label: d.weight for d in found}.values():
+    best: dict[str, float] = {}
+    for d in found:  # of a label's findings the surest counts, wherever it stands
+        best[d.label] = max(d.weight, best.get(d.label, 0.0))
+    for weight in best.values():
         doubt *= 1 - weight
     labels = base.union(d.label for d in found)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1 - doubt if labels else 0.0, found
@@ -206,7 +209,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
 
     n_base counts the places of the base phrases; first_word and last_word are their least and greatest start in words,
     null where there is none. labels holds the base labels and the rules' labels. score is the chance that at least one
-    finding is right, if each rule's weight is its own: 0 without findings. detections: start and stop (in characters
+    finding is right, if each label's largest weight is its own: 0 without findings. detections: start and stop (in characters
     of the joined words), label, priority. Null texts count as empty; null doc_ids and repeated rows are returned as
     they are; rows are independent, so nothing is shuffled.
     """

@@ -2,8 +2,7 @@
 
 A document's histogram of character classes and its histogram of its language's commonest words are compared with the
 language's reference by Jensen-Shannon distance (base 2, 0 to 1). Each comparison has a minimum length below which it
-says nothing. The words' histogram has a rest class, so that a text without common words is far from its language; the
-registered query's SQL leaves that class out (registered_sql).
+says nothing. The words' histogram has a rest class, so that a text without common words is far from its language.
 """
 
 from __future__ import annotations
@@ -36,14 +35,13 @@ CLASSES = {
     "mark": r"[^.,;:!?'\"()-]+",
 }
 #: Farthest that a kept document may be from its reference, and the lengths below which a comparison is void.
-CLASS_LIMIT, WORD_LIMIT = 0.17, 0.75
-LEAST_CHARACTERS, LEAST_HITS = 200, 30
+CLASS_LIMIT, LEAST_CHARACTERS = 0.17, 200
 # The common words' share of all words of prose, and the marks around a word that don't count.
 COMMON_SHARE = 0.2
 AROUND = ".,;:!?'\"()[]{}-«»“”„‘’…¿¡–—"
-#: Limit and least length where all words count. Of 327 labelled good texts of sf0.01 the farthest lies at 0.253; a
+#: Limit and least length of the words' comparison. Of 327 labelled good texts of sf0.01 the farthest lies at 0.253; a
 #: text without any common word lies at 0.329.
-WHOLE_LIMIT, LEAST_WORDS = 0.28, 50
+WORD_LIMIT, LEAST_WORDS = 0.28, 50
 #: Longer word lists are compared without the packed sort, whose places have 24 bits.
 PACKED_WORDS = 1 << 24
 
@@ -56,18 +54,23 @@ def js_distance_sql(shares: list[str], reference: tuple[float, ...]) -> str:
     return f"sqrt(greatest(CAST(0 AS DOUBLE), ({' + '.join(terms)}) / 2))"
 
 
+def with_rest(words: dict[str, float]) -> tuple[float, ...]:
+    """Shares of a language's common words among all words of prose, and that of the rest."""
+    return (*(COMMON_SHARE * x for x in words.values()), 1 - COMMON_SHARE)
+
+
 def by_language_sql(values: dict[str, str], otherwise: str, lang: str = "lang") -> str:
     return f"CASE {lang} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {otherwise} END"
 
 
-def measures(docs: DataFrame, text: str = "text", lang: str = "lang", registered_sql: bool = False) -> DataFrame:
+def measures(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance and word_distance to docs.
 
     class_distance and word_distance are null where the text is too short or, for words, the language has no
     reference; without a language's reference class_distance is that to the nearest one. Null texts count as empty.
     Everything stays in the row: no shuffle, and work in proportion to the text (n log n for its windows).
     Columns of docs with these names are replaced. word_distance is over all words, without the marks around them and in
-    lower case; with registered_sql it is that of oracle(): over the common words only, null if they are under LEAST_HITS.
+    lower case. An empty table gives an empty result.
     """
     d = docs.withColumn("_t", text_of(text)).withColumn("_lang", F.col(lang) if lang in docs.columns else F.lit(None).cast("string"))
     d = d.withColumn("_w", words_of(F.col("_t")))
@@ -104,19 +107,15 @@ def measures(docs: DataFrame, text: str = "text", lang: str = "lang", registered
     shares = [f"_{name}" for name in CLASSES] + ["_symbol"]
     to = {k: js_distance_sql(shares, v) for k, v in CLASS_REFERENCES.items()}
     d = d.withColumn("class_distance", F.expr(f"CASE WHEN _n >= {LEAST_CHARACTERS} THEN {by_language_sql(to, f'least({", ".join(to.values())})', '_lang')} END"))
-    forms = (lambda w: (w, w.capitalize())) if registered_sql else (lambda w: (w, w))
-    common = {k: "array(" + ", ".join(f"'{x}'" for w in v for x in forms(w)) + ")" for k, v in WORD_REFERENCES.items()}
+    common = {k: "array(" + ", ".join(f"'{w}'" for w in v) + ")" for k, v in WORD_REFERENCES.items()}
     d = d.withColumn("_common", F.expr(by_language_sql(common, "array()", "_lang")))
-    said = "_w" if registered_sql else "transform(_w, x -> lower(trim(BOTH '{}' FROM x)))".format(AROUND.replace("'", "\\'"))
+    said = "transform(_w, x -> lower(trim(BOTH '{}' FROM x)))".format(AROUND.replace("'", "\\'"))
     d = d.withColumn("_hits", F.expr(f"CASE WHEN size(_common) > 0 THEN filter({said}, x -> array_contains(_common, x)) ELSE array() END"))
-    d = d.withColumn("_n_hits", F.expr("CAST(size(_hits) AS DOUBLE)"))
-    most = max(len(v) for v in WORD_REFERENCES.values())
-    of, enough = ("_n_hits", f"_n_hits >= {LEAST_HITS}") if registered_sql else ("n_words", f"n_words >= {LEAST_WORDS}")
-    for k in range(most):
-        d = d.withColumn(f"_h{k}", F.expr(f"size(filter(_hits, x -> x = get(_common, {2 * k}) OR x = get(_common, {2 * k + 1}))) / greatest(CAST({of} AS DOUBLE), 1D)"))
-    d = d.withColumn("_rest", F.expr("1D - _n_hits / greatest(n_words, 1L)"))
-    to = {k: js_distance_sql([f"_h{i}" for i in range(len(v))] + ([] if registered_sql else ["_rest"]), tuple(v.values()) if registered_sql else (*(COMMON_SHARE * x for x in v.values()), 1 - COMMON_SHARE)) for k, v in WORD_REFERENCES.items()}
-    d = d.withColumn("word_distance", F.expr(f"CASE WHEN {enough} THEN {by_language_sql(to, 'CAST(NULL AS DOUBLE)', '_lang')} END"))
+    for k in range(max(len(v) for v in WORD_REFERENCES.values())):
+        d = d.withColumn(f"_h{k}", F.expr(f"size(filter(_hits, x -> x = get(_common, {k}))) / greatest(CAST(n_words AS DOUBLE), 1D)"))
+    d = d.withColumn("_rest", F.expr("1D - size(_hits) / greatest(n_words, 1L)"))
+    to = {k: js_distance_sql([f"_h{i}" for i in range(len(v))] + ["_rest"], with_rest(v)) for k, v in WORD_REFERENCES.items()}
+    d = d.withColumn("word_distance", F.expr(f"CASE WHEN n_words >= {LEAST_WORDS} THEN {by_language_sql(to, 'CAST(NULL AS DOUBLE)', '_lang')} END"))
     kept = [c for c in docs.columns if c not in MEASURES]
     return d.select(*kept, *MEASURES)
 
@@ -124,19 +123,18 @@ def measures(docs: DataFrame, text: str = "text", lang: str = "lang", registered
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance"]
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
 FAR = f"(coalesce(class_distance > {CLASS_LIMIT}, false) OR coalesce(word_distance > {WORD_LIMIT}, false))"
-FAR_WHOLE = f"(coalesce(class_distance > {CLASS_LIMIT}, false) OR coalesce(word_distance > {WHOLE_LIMIT}, false))"
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", registered_sql: bool = False) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """measures() with base_failed and kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated three-word windows. kept: false if
     base_failed or if a distance is above its limit. An empty table gives an empty result.
     A nondeterministic part of kept, always true, holds filters on the result above the measures; pushed down, a filter
-    would take every measure anew for each of its uses. With registered_sql the rows are those of oracle().
+    would take every measure anew for each of its uses.
     """
-    kept = F.expr(f"NOT {BASE_FAILED} AND NOT {FAR if registered_sql else FAR_WHOLE}") & (F.monotonically_increasing_id() >= 0)
-    return measures(docs, text, lang, registered_sql).withColumns({"base_failed": F.expr(BASE_FAILED), "kept": kept})
+    kept = F.expr(f"NOT {BASE_FAILED} AND NOT {FAR}") & (F.monotonically_increasing_id() >= 0)
+    return measures(docs, text, lang).withColumns({"base_failed": F.expr(BASE_FAILED), "kept": kept})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -146,13 +144,14 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB's SQL for the same rows as judged() with registered_sql over documents."""
+    """DuckDB's SQL for the same rows as judged() over documents."""
     shares = [f"s_{name}" for name in CLASSES] + ["s_symbol"]
     to_class = {k: js_distance_sql(shares, v) for k, v in CLASS_REFERENCES.items()}
     class_distance = by_language_sql(to_class, f"least({', '.join(to_class.values())})")
-    to_word = {k: js_distance_sql([f"h{i}" for i in range(len(v))], tuple(v.values())) for k, v in WORD_REFERENCES.items()}
+    to_word = {k: js_distance_sql([f"coalesce(h{i}, 0)" for i in range(len(v))] + ["(1 - coalesce(n_hits, 0) / greatest(CAST(n_words AS DOUBLE), 1))"], with_rest(v)) for k, v in WORD_REFERENCES.items()}
     lists = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in WORD_REFERENCES.items()}
-    hit = by_language_sql({k: f"list_position({lists[k]}, CASE WHEN w IN ({', '.join(repr(w.capitalize()) for w in v)}) THEN lower(w) ELSE w END)" for k, v in WORD_REFERENCES.items()}, "CAST(NULL AS INTEGER)")
+    said = "lower(trim(w, '{}'))".format(AROUND.replace("'", "''"))
+    hit = by_language_sql({k: f"list_position({v}, {said})" for k, v in lists.items()}, "CAST(NULL AS INTEGER)")
     counts = ", ".join(f"length(regexp_replace(t, '{others.replace(chr(39), chr(39) * 2)}', '', 'g')) / greatest(CAST(n AS DOUBLE), 1) AS s_{name}" for name, others in CLASSES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
@@ -163,7 +162,7 @@ g2 AS (SELECT r, pos, count(*) OVER (PARTITION BY r, g) AS c FROM g WHERE g IS N
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([pos, pos + 1, pos + 2]) AS p FROM g2 WHERE c > 1) GROUP BY r),
 ws AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY r),
 h AS (SELECT r, lang, {hit} AS k FROM w),
-hc AS (SELECT r, count(k) AS n_hits, {", ".join(f"count(*) FILTER (WHERE k = {i + 1}) / greatest(CAST(count(k) AS DOUBLE), 1) AS h{i}" for i in range(max(len(v) for v in WORD_REFERENCES.values())))} FROM h GROUP BY r),
+hc AS (SELECT r, count(k) AS n_hits, {", ".join(f"count(*) FILTER (WHERE k = {i + 1}) / greatest(CAST(count(*) AS DOUBLE), 1) AS h{i}" for i in range(max(len(v) for v in WORD_REFERENCES.values())))} FROM h GROUP BY r),
 l AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
 c AS (SELECT *, greatest(0, 1 - s_lower - s_upper - s_digit - s_space - s_mark) AS s_symbol FROM (SELECT r, {counts} FROM d)),
 m AS (SELECT d.doc_id, d.lang, d.n, coalesce(ws.n_words, 0) AS n_words, coalesce(ws.word_chars, 0) AS word_chars,
@@ -171,7 +170,7 @@ m AS (SELECT d.doc_id, d.lang, d.n, coalesce(ws.n_words, 0) AS n_words, coalesce
       coalesce(rep.n_repeat_words, 0) AS n_repeat_words, c.* EXCLUDE (r), hc.* EXCLUDE (r)
       FROM d JOIN c USING (r) LEFT JOIN ws USING (r) LEFT JOIN l USING (r) LEFT JOIN rep USING (r) LEFT JOIN hc USING (r)),
 j AS (SELECT *, CASE WHEN n >= {LEAST_CHARACTERS} THEN {class_distance} END AS class_distance,
-      CASE WHEN n_hits >= {LEAST_HITS} THEN {by_language_sql(to_word, 'CAST(NULL AS DOUBLE)')} END AS word_distance FROM m)
+      CASE WHEN n_words >= {LEAST_WORDS} THEN {by_language_sql(to_word, 'CAST(NULL AS DOUBLE)')} END AS word_distance FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   {BASE_FAILED} AS base_failed, NOT {BASE_FAILED} AND NOT {FAR} AS kept FROM j"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.storage import ship  # noqa: F401 - operators take it from here
+
 #: White space as the operators know it (Java and RE2 syntax).
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -54,20 +55,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes the package importable for Python workers that don't start in its folder."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
-        return
-    import shutil
-
-    if getattr(spark.sparkContext, "_ledgerloom_shipped", False):
-        return
-    with tempfile.TemporaryDirectory() as d:
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/ledgerloom_src", "zip", root, "ledgerloom"))
-    spark.sparkContext._ledgerloom_shipped = True
-
-
 def text_of(column: str | Column = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

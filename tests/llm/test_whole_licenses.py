@@ -50,3 +50,9 @@ def test_every_form_holds_an_anchor():
 def test_expat_is_found():
     for t in ("Licensed under the Expat license", "the expat license", "subject to the Expat licence"):
         assert "mit" not in t.lower() and "mit" in scan(t)[5].split(",")
+
+
+def test_the_surest_finding_of_a_label_counts_in_any_order():
+    a, b = "Licensed under the MIT License.", "license mit"
+    scores = [scan(t)[6] for t in (f"{a} {b}", f"{b} {a}", a, b)]
+    assert scores[0] == scores[1] == max(scores[2:]) > min(scores[2:])

@@ -1,6 +1,7 @@
 """The word rule of quality over all words: what has no common words is far."""
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from ledgerloom.llm import queries
@@ -28,8 +29,12 @@ def test_labelled_good_texts_are_near(spark):
     assert len(rows) > 300 and max(r.word_distance for r in rows) < 0.28
 
 
-def test_the_registered_query_still_gives_its_sql(spark):
+def test_the_query_rejects_what_has_no_common_words_as_its_sql_does(spark, tmp_path):
+    salad = " ".join(f"{chr(97 + k % 26)}{chr(97 + k * 7 % 26)}rgol{chr(97 + k * k % 26)}mun" for k in range(300)) + "."
+    rows = [*pq.read_table(f"{SF}/documents.parquet").to_pylist(), {"doc_id": -1, "text": salad, "lang": "en"}, {"doc_id": -2, "text": salad + " (The) 'of' AND", "lang": "de"}, {"doc_id": -3, "text": None, "lang": None}]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "documents.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    found = judged(spark.read.parquet(f"{SF}/documents.parquet"), registered_sql=True).select("doc_id", "kept")
-    assert counted(found.collect()) == counted(con.execute(f"SELECT doc_id, kept FROM ({queries.oracle_sql()['op10_quality']})").fetchall())
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    found = queries.op10_quality(spark, f"file://{tmp_path}")
+    assert counted(found.collect()) == counted(con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.oracle_sql()['op10_quality']})").fetchall())
+    assert {r.doc_id: r.kept for r in found.where("doc_id < 0").collect()} == {-1: False, -2: False, -3: False}
