@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.documents import CNPJ_IN_TEXT, cpf_in_text, documents_in_text, normalize_name, strip_documents
+from ledgerloom.functions.documents import CNPJ_IN_TEXT, cpf_in_text, documents_in_text, let, normalize_name, strip_documents
 
 # The states of Brazil.
 UFS = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO")
@@ -55,11 +53,6 @@ def person_type(c: Column) -> Column:
     return F.try_element_at(known, key)
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with the value worked out once, however often then names it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def number_cell(c: Column) -> Column:
     """The text of a numeric cell: its integer digits, padded to a document's length where leading zeros went missing."""
     padded = lambda d: F.when(F.length(d).between(7, 10), F.lpad(d, 11, "0")).when(F.length(d).between(12, 13), F.lpad(d, 14, "0")).otherwise(d)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -34,19 +40,20 @@ def _check_digit(d: Column, n: int) -> Column:
     return F.when(total % 11 < 2, 0).otherwise(11 - total % 11)
 
 
+def _right_digits(d: Column) -> Column:
+    """Whether 11 digits end in their check digits."""
+    return (_check_digit(d, 9) == F.substring(d, 10, 1).cast("int")) & (_check_digit(d, 10) == F.substring(d, 11, 1).cast("int"))
+
+
 def cpf_is_valid(c: Column) -> Column:
     """Whether a text holds a CPF: 11 digits, not all equal, with the right check digits. Null counts as invalid."""
-    d = digits(c)
-    shaped = (F.length(d) == 11) & ~d.rlike(r"^(.)\1{10}$")
-    checked = (_check_digit(d, 9) == F.substring(d, 10, 1).cast("int")) & (_check_digit(d, 10) == F.substring(d, 11, 1).cast("int"))
-    return F.coalesce(F.when(shaped, checked).otherwise(False), F.lit(False))
+    return F.coalesce(normalize_cpf(c).isNotNull(), F.lit(False))
 
 
 def normalize_cpf(c: Column, strict: bool = True) -> Column:
     """The 11 digits, or null where they are no CPF; strict also tests the check digits."""
-    d = digits(c)
-    good = cpf_is_valid(c) if strict else (F.length(d) == 11) & ~d.rlike(r"^(.)\1{10}$")
-    return F.when(good, d)
+    shaped = lambda d: (F.length(d) == 11) & ~d.rlike(r"^(.)\1{10}$")
+    return let(digits(c), lambda d: F.when(shaped(d), F.when(_right_digits(d), d) if strict else d))
 
 
 def normalize_cnpj(c: Column) -> Column:
