@@ -256,7 +256,7 @@ _table("ofx_parse", "orders", lambda o: ofx.parse(o.select(F.col("o_orderkey").c
 SELECT CAST(o_orderkey AS VARCHAR) AS arquivo, 1 AS posicao, CAST(o_orderdate AS DATE) AS data_movimento, CAST(o_totalprice AS DECIMAL(15,2)) AS valor, CASE WHEN o_orderkey % 3 = 0 THEN 'SAIDA' ELSE 'ENTRADA' END AS direcao, o_orderpriority AS descricao_raw, CAST(o_orderkey AS VARCHAR) AS nr_extrato_bancario FROM orders""")
 
 
-from ledgerloom.plans import approvals, extracted, opinions, sheets, workbooks  # noqa: E402, F401 - they register their queries with query() above
+from ledgerloom.plans import approvals, changes, extracted, opinions, sheets, workbooks  # noqa: E402, F401 - they register their queries with query() above
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
