@@ -141,12 +141,34 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return d.drop("_pf", "_pj", "_hour", "_names", "_pix_unico", "_rule")
 
 
+def _tied(left: DataFrame, best: DataFrame) -> DataFrame:
+    """Pairs of whole tie groups, the k-th line of one side with the k-th of the other: a_id, b_id, rank.
+
+    A line's first class are its pairs of best confidence and date. Lines whose first classes name the same partners, and
+    no one else's, make a group in which every pair is equal; by the order of ids such a group pairs off in one step.
+    best has the first class of every line (id, top).
+    """
+    key = F.struct("rank.c", "rank.a_data_movimento")
+    ends = left.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("e"), key.alias("key")).select("e.*", "key")
+    sets = ends.join(best.select("id", "top"), "id").where("key = top").groupBy("id", "top").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("other")).alias("h"), F.min("other").alias("m"), F.max("other").alias("x"))
+    sets = written(sets, "ties")
+    side = lambda s: sets.select(F.col("id").alias(f"{s}_id"), F.struct("top", "n", "h", "m", "x").alias(f"{s}_set"))
+    # Of every set of partners the lines that have it, told the same way.
+    owners = sets.groupBy(F.struct("top", "n", "h", "m", "x").alias("a_set")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h"), F.min("id").alias("m"), F.max("id").alias("x"))
+    met = left.join(side("a"), "a_id").where(key == F.col("a_set.top")).join(side("b"), "b_id").join(owners, "a_set")
+    whole = F.col("b_set") == F.struct(F.col("a_set.top").alias("top"), "n", "h", "m", "x")
+    good = met.groupBy("a_set").agg(F.bool_and(whole).alias("whole"), F.count("*").alias("pairs"), F.first("n").alias("lines")).where("whole AND pairs = lines * a_set.n AND pairs > 1").select("a_set")
+    group = met.join(good, "a_set").select("a_set", "a_id", "b_id", "rank")
+    number = lambda s: group.select("a_set", f"{s}_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("a_set").orderBy(f"{s}_id")))
+    return number("a").join(number("b"), ["a_set", "k"]).join(group, ["a_set", "a_id", "b_id"]).select("a_id", "b_id", "rank")
+
+
 def assign(pairs: DataFrame) -> DataFrame:
     """The pairs that the greedy takes: best first, each line once.
 
     The order is confidence descending, then a's date, a and b. In each round every pair that is the best of both its
-    lines is taken, and the pairs that touch its lines go; with a strict order that gives what taking one by one gives,
-    and no group of pairs must fit one task. Rounds are tables in the shared folder.
+    lines is taken, and every whole group of ties, and the pairs that touch their lines go; with a strict order that
+    gives what taking one by one gives, and no group of pairs must fit one task. Rounds are tables in the shared folder.
     """
     spark = pairs.sparkSession
     rank = F.struct((-F.col("confianca")).alias("c"), "a_data_movimento", "a_id", "b_id")
@@ -154,8 +176,9 @@ def assign(pairs: DataFrame) -> DataFrame:
     taken = None
     while not left.isEmpty():
         ends = left.select(F.explode(F.array("a_id", "b_id")).alias("id"), "rank")
-        best = ends.groupBy("id").agg(F.min("rank").alias("best"))
-        chosen = best.groupBy("best").agg(F.count("*").alias("n")).where("n = 2").select("best.a_id", "best.b_id", "best.a_data_movimento", (-F.col("best.c")).alias("confianca"))
+        best = written(ends.groupBy("id").agg(F.min("rank").alias("best")).withColumn("top", F.struct("best.c", "best.a_data_movimento")), "best")
+        mutual = best.groupBy("best").agg(F.count("*").alias("n")).where("n = 2").select("best.a_id", "best.b_id", F.col("best").alias("rank"))
+        chosen = mutual.unionByName(_tied(left, best)).dropDuplicates(["a_id", "b_id"]).select("a_id", "b_id", "rank.a_data_movimento", (-F.col("rank.c")).alias("confianca"))
         chosen = written(chosen, "chosen")
         taken = chosen if taken is None else taken.unionByName(chosen)
         used = chosen.select(F.explode(F.array("a_id", "b_id")).alias("id"))

@@ -154,3 +154,14 @@ def test_entry_has_rows_and_every_sql_has_a_query(spark):
 def test_queries_without_sql_run_whole(spark, name):
     found = registered.queries()[name](spark, SF)
     assert found.count() > 0
+
+
+def test_greedy_pairs_ties_off_at_once(spark):
+    day, later = datetime.date(2025, 1, 1), datetime.date(2025, 1, 2)
+    whole = [(i, 1000 + j, day, 0.55) for i in range(70) for j in range(50)]  # a whole group, more lines on one side
+    broken = [(2000 + i, 3000 + j, day, 0.8) for i in range(12) for j in range(12) if (i * j) % 7 != 3]  # not all pairs
+    crossed = [(4000 + i, 5000 + j, later if i % 2 else day, 0.6 + (j % 3) / 10) for i in range(10) for j in range(10)]
+    bridge = [(0, 3005, day, 0.9), (4001, 1001, later, 0.56), (6000, 1002, day, 0.55)]
+    pairs = spark.createDataFrame([*whole, *broken, *crossed, *bridge], "a_id long, b_id long, a_data_movimento date, confianca double")
+    found = consolidate.assign(pairs).select("a_id", "b_id", "confianca").collect()
+    assert plain(found) == plain(brute_greedy(pairs.collect()))
