@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import cells as C
-from ledgerloom.operators import export, extraction, ledger, locate, mutations
-from ledgerloom.operators.storage import written
+from ledgerloom.operators import export, extraction, incremental, ledger, locate, mutations, validation
+from ledgerloom.operators.storage import fresh_path, written
 from ledgerloom.plans.registered import query
 
 CODE = r"regexp_full_match(trim(coalesce(descricao, '')), '[A-Z0-9][A-Z0-9\s.\-/]{2,14}')"
@@ -189,3 +191,38 @@ SELECT st.id, CAST(coalesce(onde, CASE WHEN st.id % 7 <> 3 THEN pagina END) AS I
     lambda i: locate.anchored(locate.page_lines((t := _statement(i))[0]), t[1]).select("id", "pagina", "pontos", "ancoragem")
 )
 query("approved_file", "movimentacao pessoa prestador")(lambda m, p, r: export.approved_file(ledger.described(ledger.approved(m), p, r).withColumnsRenamed({"documento": "pessoa_documento", "confianca": "confianca_global"})))
+
+
+def _damaged(m: DataFrame, c: DataFrame, p: DataFrame) -> DataFrame:
+    """Fragments of three kinds, those of origem damaged in four ways."""
+    k = F.col("id") % 12
+    xml = F.col("xml")
+    broken = F.when(k == 0, F.regexp_replace(xml, "<valor>[^<]*</valor>", "")).when(k == 1, F.regexp_replace(xml, "(<dataMovimento>[^<]*</dataMovimento>)(<valor>[^<]*</valor>)", "$2$1")).when(k == 2, F.replace(xml, F.lit("</origem>"), F.lit("<mais/></origem>"))).when(k == 3, F.substring(xml, 1, 30)).otherwise(xml)
+    items = export.origin_items(m, c, p).select("id", F.lit("origem").alias("documento"), broken.alias("xml"))
+    return items.unionByName(export.application_items(m.withColumn("pessoa_juridica_id", F.lit(None).cast("long")), c.withColumns({n: F.lit(None).cast(t) for n, t in (("descricao_resumida", "string"), ("nr_documento", "string"), ("data_emissao", "date"), ("tipo_documento", "string"), ("detalhe_situacao", "int"), ("cd_gasto", "string"))}), p).select("id", F.lit("aplicacao").alias("documento"), "xml"))
+
+
+def _validated(m: DataFrame, c: DataFrame, p: DataFrame) -> DataFrame:
+    # The workers get the schema by its name.
+    m.sparkSession.sparkContext.addFile(os.path.join(os.path.dirname(os.path.dirname(__file__)), "schemas", "origem.xsd"))
+    return validation.validated(_damaged(m, c, p), {"origem": "origem.xsd"}).select("id", "documento", "validacao")
+
+
+query("xsd_validation", "movimentacao classificacao pessoa", """
+SELECT m.id, CASE WHEN direcao = 'ENTRADA' THEN 'origem' ELSE 'aplicacao' END AS documento, CASE WHEN direcao <> 'ENTRADA' THEN 'nao_validado' WHEN m.id % 12 < 4 THEN 'invalido' ELSE 'valido' END AS validacao FROM movimentacao m JOIN classificacao c ON m.id = c.movimentacao_id WHERE status = 'CONFIRMADO'""")(_validated)
+
+
+def _twice(items: DataFrame) -> DataFrame:
+    """Two runs over texts: half of them, then all; what each run found new, and the answers after the second."""
+    spark = items.sparkSession
+    path = fresh_path(spark, "cache")
+    texts = items.select("id", F.concat_ws(";", "data", "valor", "descricao").alias("conteudo"), F.lit("m1").alias("modelo"))
+    answer = lambda new: new.select("chave", F.when(F.length("conteudo") % 5 > 0, F.upper("conteudo")).alias("resposta"))
+    first = incremental.extracted(texts.where("id % 2 = 0"), path, answer)[1]
+    done, second = incremental.extracted(texts, path, answer)
+    return done.select("id", "resposta", F.lit(first).alias("novas_1"), F.lit(second).alias("novas_2"))
+
+
+query("extraction_cache", "item", """
+, t AS (SELECT id, concat_ws(';', data, valor, descricao) AS c FROM item), a AS (SELECT DISTINCT c FROM t WHERE id % 2 = 0)
+SELECT id, CASE WHEN length(c) % 5 > 0 THEN upper(c) END AS resposta, (SELECT count(*) FROM a) AS novas_1, (SELECT count(DISTINCT c) FROM t WHERE length(c) % 5 = 0 OR c NOT IN (SELECT c FROM a)) AS novas_2 FROM t""")(_twice)

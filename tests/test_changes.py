@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from ledgerloom.operators import aimatch, events, people
+from ledgerloom.operators import aimatch, events, incremental, people, validation
 from ledgerloom.plans import changes, registered
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,31 @@ def test_requests_on_empty_registries(spark):
     more = asked.selectExpr("*", "array('nome') campos", "'x' nome", "cast(null as string) titulo_eleitor", "cast(null as array<string>) aliases")
     new, outcome = people.update_people(none, more)
     assert new.count() == 0 and [r.resultado for r in outcome.collect()] == [people.NOT_FOUND]
+
+
+def test_only_unseen_contents_are_extracted(spark, tmp_path):
+    path, asked = f"file://{tmp_path}/cache", []
+
+    def answer(new):
+        asked.append(sorted(r.conteudo or "" for r in new.collect()))
+        return new.selectExpr("chave", "CASE WHEN length(conteudo) > 0 THEN upper(conteudo) END resposta")
+
+    files = spark.createDataFrame([(1, "a", "m"), (2, "b", "m"), (3, "a", "m"), (4, None, "m"), (5, "a", "n"), (6, "m", "")], "id int, conteudo string, modelo string")
+    for n, want in ((5, ["", "a", "a", "b", "m"]), (1, [""])):
+        found, new = incremental.extracted(files, path, answer)
+        assert new == n and asked[-1] == want and {r.id: r.resposta for r in found.collect()} == {1: "A", 2: "B", 3: "A", 4: None, 5: "A", 6: "M"}
+    before = files_of(tmp_path)
+    assert incremental.extracted(files.where("id < 4"), path, answer)[1] == 0 and len(asked) == 2 and files_of(tmp_path) == before
+
+
+def files_of(path):
+    return sorted(files(path))
+
+
+def test_fragments_against_a_schema(spark, tmp_path):
+    (tmp_path / "n.xsd").write_text('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="n" type="xs:int"/></xs:schema>')
+    rows = [("n", "<n>1</n>"), ("n", "<n>x</n>"), ("n", "<n>"), ("n", ""), ("n", None), ("o", "<o/>"), (None, "<n>1</n>")]
+    docs = spark.createDataFrame(rows, "documento string, xml string")
+    found = validation.validated(docs, {"n": str(tmp_path / "n.xsd")})
+    assert [r.validacao for r in found.collect()] == ["valido", "invalido", "invalido", "invalido", "invalido", "nao_validado", "nao_validado"]
+    assert {r.documento: (r.valido, r.invalido, r.exportavel) for r in validation.verdicts(docs, {"n": str(tmp_path / "n.xsd")}).collect()} == {"n": (1, 4, False), "o": (0, 0, True), None: (0, 0, True)}
