@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import cells as C
-from ledgerloom.operators import export, extraction, incremental, ledger, locate, mutations, validation
+from ledgerloom.operators import columns, export, extraction, incremental, ledger, locate, mutations, validation
 from ledgerloom.operators.storage import fresh_path, written
 from ledgerloom.plans.registered import query
 
@@ -226,3 +226,28 @@ def _twice(items: DataFrame) -> DataFrame:
 query("extraction_cache", "item", """
 , t AS (SELECT id, concat_ws(';', data, valor, descricao) AS c FROM item), a AS (SELECT DISTINCT c FROM t WHERE id % 2 = 0)
 SELECT id, CASE WHEN length(c) % 5 > 0 THEN upper(c) END AS resposta, (SELECT count(*) FROM a) AS novas_1, (SELECT count(DISTINCT c) FROM t WHERE length(c) % 5 = 0 OR c NOT IN (SELECT c FROM a)) AS novas_2 FROM t""")(_twice)
+
+# A statement's first page for every item: titles in an order that its number turns, and one line below them.
+TITLES = ("Data", "Valor (R$)", "Nr. Doc", "Histórico", "Favorecido", "Saldo", "D/C")
+_CAMPOS = ("data", "valor", "documento", "historico", "remetente_destinatario", "saldo", "direcao")
+
+
+def _headed(items: DataFrame) -> DataFrame:
+    slot = lambda j: (F.lit(j * 3) + F.col("id")) % 7
+    texts = []
+    for j, title in enumerate(TITLES):
+        for k, part in enumerate(title.split(" ") if title == "Nr. Doc" else [title]):
+            texts.append(F.struct((F.lit(20.0) + slot(j) * 90 + k * 15).alias("x"), F.lit(100.0).alias("y"), F.when((F.col("id") % 10 > 0) | F.lit(j == 0), part).otherwise("x").alias("str")))
+        texts.append(F.struct((F.lit(24.0) + slot(j) * 90).alias("x"), F.lit(140.0).alias("y"), F.concat(F.lit(f"v{j} "), F.col("id").cast("string")).alias("str")))
+    return items.select("id", F.posexplode(F.array(*texts)).alias("ordem", "t")).select("id", "ordem", "t.x", "t.y", "t.str", F.lit(650.0).alias("largura"))
+
+
+_SLOTS = "(SELECT id, unnest(range(7)) AS j, (unnest(range(7)) * 3 + id) % 7 AS s FROM item WHERE id % 10 > 0)"
+query("header_columns", "item", f"""
+SELECT id, CAST(s AS INT) AS coluna_index, {list(_CAMPOS)}[j + 1] AS campo, {list(TITLES)}[j + 1] AS titulo, CASE WHEN s = 0 THEN CAST(0 AS DOUBLE) ELSE (CAST(20 + (s - 1) * 90 AS DOUBLE) / 650 + CAST(20 + s * 90 AS DOUBLE) / 650) / 2 END AS x_inicio,
+  CASE WHEN s = 6 THEN CAST(1 AS DOUBLE) ELSE (CAST(20 + s * 90 AS DOUBLE) / 650 + CAST(20 + (s + 1) * 90 AS DOUBLE) / 650) / 2 END AS x_fim FROM {_SLOTS}""")(
+    lambda i: columns.header_columns(_headed(i), "id")
+)
+query("column_texts", "item", f"SELECT id, {list(_CAMPOS)}[j + 1] AS campo, 'v' || j || ' ' || id AS texto FROM {_SLOTS}")(
+    lambda i: columns.field_texts((t := _headed(i)).where("y > 120"), columns.header_columns(t, "id"), "id").select("id", F.explode("campos").alias("campo", "texto"))
+)
