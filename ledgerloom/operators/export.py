@@ -179,3 +179,52 @@ def approved_rows(rows: DataFrame, *by: str, titles: tuple[str, ...] = APPROVED_
     key = F.struct((-F.unix_date("data_movimento")).alias("dia"), "cnpj_prestador", "id")
     lines = d.select("arquivo", key.alias("_chave"), text_cells(*[F.col(t) if t in rows.columns else F.lit("") for t in titles]).alias("celulas"))
     return _titled(lines, d.select("arquivo").distinct(), "Movimentacoes", 0, titles)
+
+
+# The element of each kind of money, those that say where it arrived, and what stands for an unknown account.
+MONEY_TAGS = {
+    "PIX": "transferenciaEletronicaPIX", "TED": "transferenciaEletronicaTED", "TEL": "transferenciaEletronicaTEL", "TEB": "transferenciaEletronicaTEB", "CH": "depositoCheque",
+    "EP": "depositoEspecie", "OB": "ordemBancaria", "CC": "cartaoCredito", "AC": "avisoCredito", "OT": "outrosTitulosCredito",
+}
+WITHOUT_ACCOUNT = ("OT",)
+NO_BANK, NO_AGENCY, NO_ACCOUNT, NO_CHECK = "000", "0000", "0", "0"
+
+
+def slot(name: str, value: Column) -> Column:
+    """An element that is there though its value is missing."""
+    found = element(name, value)
+    return F.when(found == "", f"<{name}/>").otherwise(found)
+
+
+def origin_fragments(ledger: DataFrame, classes: DataFrame, people: DataFrame, accounts: DataFrame) -> DataFrame:
+    """id, scope, xml and erro: the whole origem fragment of every incoming, confirmed and classified line.
+
+    ledger: pessoa_id, pessoa_juridica_id, conta_id, nr_extrato_bancario and the line's own columns; classes:
+    movimentacao_id, fonte_recurso, natureza_recurso, tipo_origem_recurso, classificacao_receita, descricao_resumida,
+    nr_recibo_doacao, especie_recurso; people: tipo, pessoa_id, documento, nome, titulo_eleitor; accounts: conta_id,
+    agencia, conta, dv. The receipt stands before the summary, as the schema wants. An unknown kind of money counts as
+    PIX under its own name. Elements that the schema wants are there though empty. A line without the person that its origin's type names, or with a type that is neither PF
+    nor PJ, has no xml but an erro.
+    """
+    d = ledger.where("direcao = 'ENTRADA' AND status = 'CONFIRMADO'").join(classes.withColumnRenamed("movimentacao_id", "id"), "id")
+    for kind, key in (("PF", "pessoa_id"), ("PJ", "pessoa_juridica_id")):
+        d = d.join(people.where(F.col("tipo") == kind).select(F.col("pessoa_id").alias(key), F.struct("documento", "nome", "titulo_eleitor").alias(kind)), key, "left")
+    d = d.join(accounts.select("conta_id", F.struct("agencia", "conta", "dv").alias("_conta")), "conta_id", "left")
+    kind, money = F.upper(F.coalesce("tipo_origem_recurso", F.lit("PF"))), F.upper(F.coalesce("especie_recurso", F.lit(NO_KIND)))
+    person = node("pessoaFisica", element("tipo", F.lit("PF")), slot("nrCpf", F.col("PF.documento")), slot("nmPessoa", F.col("PF.nome")), element("tituloEleitor", F.col("PF.titulo_eleitor")))
+    company = node("pessoaJuridica", element("tipo", F.lit("PJ")), slot("nrCnpj", F.col("PJ.documento")), slot("nmPessoa", F.col("PJ.nome")))
+    known = F.col("_conta").isNotNull()
+    of_account = lambda name, c, none: slot(name, F.when(known, F.coalesce(c, F.lit(none)) if name == "dvContaCorrente" else c).otherwise(none))
+    bank = node("contaBancariaDestino", node("bancoDestino", slot("nrBancoDestino", F.lit(NO_BANK)), of_account("agenciaDestino", F.col("_conta.agencia"), NO_AGENCY), of_account("contaCorrente", F.col("_conta.conta"), NO_ACCOUNT), of_account("dvContaCorrente", F.col("_conta.dv"), NO_CHECK)))
+    tag = F.lit(MONEY_TAGS[NO_KIND])
+    for name, element_name in MONEY_TAGS.items():
+        tag = F.when(money == name, element_name).otherwise(tag)
+    arrived = F.when(money.isin(*WITHOUT_ACCOUNT), "").otherwise(bank)
+    spoken = F.concat(F.lit("<especieRecurso><"), tag, F.lit(">"), element("especieRecurso", money), element("nrExtratoBancario", F.col("nr_extrato_bancario")), arrived, F.lit("</"), tag, F.lit("></especieRecurso>"))
+    xml = node(
+        "origem", slot("dtEntrada", F.col("data_movimento")), slot("vrOrigem", _money(F.col("valor"))), slot("fonteRecurso", F.col("fonte_recurso")), slot("naturezaRecurso", F.col("natureza_recurso")),
+        node("origemRecurso", F.when(kind == "PF", person).when(kind == "PJ", company)), slot("classificacaoReceita", F.col("classificacao_receita")), element("nrReciboDoacao", F.col("nr_recibo_doacao")),
+        element("descricaoResumida", F.col("descricao_resumida")), spoken,
+    )
+    error = F.when((kind == "PF") & F.col("PF").isNull(), "sem pessoa física").when((kind == "PJ") & F.col("PJ").isNull(), "sem pessoa jurídica").when(~kind.isin("PF", "PJ"), F.concat(F.lit("tipo de origem: "), kind))
+    return d.select("id", "cnpj_prestador", "exercicio", "data_movimento", F.when(error.isNull(), xml).alias("xml"), error.alias("erro"))

@@ -251,3 +251,24 @@ SELECT id, CAST(s AS INT) AS coluna_index, {list(_CAMPOS)}[j + 1] AS campo, {lis
 query("column_texts", "item", f"SELECT id, {list(_CAMPOS)}[j + 1] AS campo, 'v' || j || ' ' || id AS texto FROM {_SLOTS}")(
     lambda i: columns.field_texts((t := _headed(i)).where("y > 120"), columns.header_columns(t, "id"), "id").select("id", F.explode("campos").alias("campo", "texto"))
 )
+
+# The same text runs in Spark and in DuckDB.
+ORIGIN_LINES = "SELECT *, CASE WHEN id % 4 = 1 THEN id % 10 + 1 END AS pessoa_juridica_id, CASE WHEN id % 3 > 0 THEN id % 6 END AS conta_id, CASE WHEN id % 5 < 3 THEN 'N<' || CAST(id % 90 AS VARCHAR(3)) END AS nr_extrato_bancario FROM {m}"
+ORIGIN_CLASSES = "SELECT movimentacao_id, fonte_recurso, natureza_recurso, CASE movimentacao_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 'pj' WHEN 2 THEN 'XX' WHEN 5 THEN 'PJ' ELSE 'PF' END AS tipo_origem_recurso, CASE WHEN movimentacao_id % 2 = 0 THEN '1.2' END AS classificacao_receita, CASE WHEN movimentacao_id % 3 = 0 THEN 'Resumo & mais' END AS descricao_resumida, nr_recibo_doacao, CASE movimentacao_id % 12 WHEN 0 THEN 'pix' WHEN 1 THEN 'TED' WHEN 2 THEN 'TEL' WHEN 3 THEN 'TEB' WHEN 4 THEN 'CH' WHEN 5 THEN 'EP' WHEN 6 THEN 'OB' WHEN 7 THEN 'CC' WHEN 8 THEN 'AC' WHEN 9 THEN 'OT' WHEN 10 THEN 'ZZ' END AS especie_recurso FROM {c}"
+ORIGIN_PEOPLE = "SELECT *, CASE WHEN tipo = 'PF' AND pessoa_id % 3 = 0 THEN 'T' || CAST(pessoa_id AS VARCHAR(9)) END AS titulo_eleitor FROM {p}"
+ACCOUNTS = "SELECT DISTINCT id % 5 AS conta_id, '0' || CAST(id % 5 AS VARCHAR(3)) AS agencia, '77' || CAST(id % 5 AS VARCHAR(3)) AS conta, CASE WHEN id % 5 = 2 THEN 'X' END AS dv FROM {m}"
+_ELEMENT = "CASE WHEN coalesce(CAST({1} AS VARCHAR), '') <> '' THEN '<{0}>' || replace(replace(CAST({1} AS VARCHAR), '&', '&amp;'), '<', '&lt;') || '</{0}>' ELSE '' END"
+_SLOT = _ELEMENT.replace("ELSE ''", "ELSE '<{0}/>'")
+_MONEY = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in export.MONEY_TAGS.items()) + " ELSE 'transferenciaEletronicaPIX' END"
+query("origin_fragments", "movimentacao classificacao pessoa", f"""
+, l AS ({ORIGIN_LINES.format(m="movimentacao")}), k AS ({ORIGIN_CLASSES.format(c="classificacao")}), q AS ({ORIGIN_PEOPLE.format(p="pessoa")}), a AS ({ACCOUNTS.format(m="movimentacao")}),
+g AS (SELECT l.*, k.* EXCLUDE (movimentacao_id), upper(coalesce(tipo_origem_recurso, 'PF')) AS t, upper(coalesce(especie_recurso, 'PIX')) AS e, f.documento AS fd, f.nome AS fn, f.titulo_eleitor AS ft, j.documento AS jd, j.nome AS jn, a.agencia, a.conta, a.dv, a.conta_id AS ac FROM l JOIN k ON l.id = movimentacao_id LEFT JOIN q f ON f.tipo = 'PF' AND f.pessoa_id = l.pessoa_id
+  LEFT JOIN q j ON j.tipo = 'PJ' AND j.pessoa_id = l.pessoa_juridica_id LEFT JOIN a ON a.conta_id = l.conta_id WHERE direcao = 'ENTRADA' AND status = 'CONFIRMADO'),
+r AS (SELECT *, CASE WHEN t = 'PF' AND fd IS NULL THEN 'sem pessoa física' WHEN t = 'PJ' AND jd IS NULL THEN 'sem pessoa jurídica' WHEN t NOT IN ('PF', 'PJ') THEN 'tipo de origem: ' || t END AS erro, {_MONEY} AS tag FROM g)
+SELECT id, CASE WHEN erro IS NULL THEN '<origem>' || {_SLOT.format("dtEntrada", "data_movimento")} || {_SLOT.format("vrOrigem", "valor")} || {_SLOT.format("fonteRecurso", "fonte_recurso")} || {_SLOT.format("naturezaRecurso", "natureza_recurso")} || '<origemRecurso>' ||
+  CASE t WHEN 'PF' THEN '<pessoaFisica><tipo>PF</tipo>' || {_SLOT.format("nrCpf", "fd")} || {_SLOT.format("nmPessoa", "fn")} || {_ELEMENT.format("tituloEleitor", "ft")} || '</pessoaFisica>' ELSE '<pessoaJuridica><tipo>PJ</tipo>' || {_SLOT.format("nrCnpj", "jd")} || {_SLOT.format("nmPessoa", "jn")} || '</pessoaJuridica>' END || '</origemRecurso>' ||
+  {_SLOT.format("classificacaoReceita", "classificacao_receita")} || {_ELEMENT.format("nrReciboDoacao", "nr_recibo_doacao")} || {_ELEMENT.format("descricaoResumida", "descricao_resumida")} || '<especieRecurso><' || tag || '>' || {_ELEMENT.format("especieRecurso", "e")} || {_ELEMENT.format("nrExtratoBancario", "nr_extrato_bancario")} ||
+  CASE WHEN e = 'OT' THEN '' ELSE '<contaBancariaDestino><bancoDestino><nrBancoDestino>000</nrBancoDestino><agenciaDestino>' || CASE WHEN ac IS NULL THEN '0000' ELSE agencia END || '</agenciaDestino><contaCorrente>' || CASE WHEN ac IS NULL THEN '0' ELSE conta END || '</contaCorrente><dvContaCorrente>' || coalesce(dv, '0') || '</dvContaCorrente></bancoDestino></contaBancariaDestino>' END ||
+  '</' || tag || '></especieRecurso></origem>' END AS xml, erro FROM r""")(
+    lambda m, c, p: export.origin_fragments((s := m.sparkSession).sql(ORIGIN_LINES, m=m), s.sql(ORIGIN_CLASSES, c=c), s.sql(ORIGIN_PEOPLE, p=p), s.sql(ACCOUNTS, m=m)).select("id", "xml", "erro")
+)
