@@ -31,15 +31,46 @@ UNIT = 1_000_000
 # Suffixes of countries with one main language among those known.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en"}
 
-_DROP = re.compile(r"<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>", re.S | re.I)
+_OPEN = re.compile(r"<(script|style|nav|noscript|template)\b|<!--|<div class=\"ad\">", re.I)
+_CLOSE = re.compile(r"</(script|style|nav|noscript|template)\s*+>|</div>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _HTML = re.compile(r"<html\b([^>]*)", re.I)
 _LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
+def _without_dropped(page: str) -> str:
+    """A page with a space for each script, style, navigation, template, comment and advertisement that is closed.
+
+    Closing tags are found once, and each name's are used up in order, so the page is read forward only.
+    """
+    closing: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSE.finditer(page):
+        closing.setdefault((m[1] or "div").lower(), []).append(m.span())
+    used, out, at, after, comment = dict.fromkeys(closing, 0), [], 0, 0, 0
+    while m := _OPEN.search(page, after):
+        after, end = m.end(), -1
+        if m[0] == "<!--":
+            if comment >= 0:  # else no comment ends after here
+                comment = page.find("-->", after)
+                end = comment + 3 if comment >= 0 else -1
+        else:
+            name = (m[1] or "div").lower()
+            spans, k = closing.get(name, ()), used.get(name, 0)
+            while k < len(spans) and spans[k][0] < after:
+                k += 1
+            used[name] = k
+            end = spans[k][1] if k < len(spans) else -1
+        if end >= 0:
+            out += (page[at : m.start()], " ")
+            at = after = end
+    return "".join((*out, page[at:]))
+
+
 def page_text(page: str | None) -> str:
-    """The text of a page without markup, scripts and navigation."""
-    return html_entities.unescape(_TAG.sub(" ", _DROP.sub(" ", page or "")))
+    """The text of a page without markup, scripts and navigation, in time that grows with its length."""
+    bare = _without_dropped(page or "")
+    last = bare.rfind(">") + 1  # a tag that isn't closed is text, and none is closed after here
+    return html_entities.unescape(_TAG.sub(" ", bare[:last]) + bare[last:])
 
 
 def declared_language(page: str | None) -> str:

@@ -26,3 +26,23 @@ def test_the_model_is_fitted_by_tasks_that_all_scan(spark, monkeypatch):
 
     monkeypatch.setattr(type(docs), "coalesce", refuse)
     assert fit_text_model(docs.repartition(7), sample=5) == fit_text_model(docs.repartition(2), sample=5)
+
+
+def test_page_text_equals_its_rule_and_takes_linear_time():
+    import random
+    import re
+    import time
+    from html import unescape
+
+    from ledgerloom.llm.langid import page_text
+
+    drop = re.compile(r"<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>", re.S | re.I)
+    rng = random.Random(8)
+    parts = ["<script>", "</script >", "</SCRIPT>", "<scripts>", "<style a=1>", "</style>", "<!--", "-->", "--", '<div class="ad">', "</div>", "<div>", "<", ">", "text", "&amp;", "<nav", "</nav\n>", "<b>", " ", "<noscript>", "</noscript>"]
+    for _ in range(4000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert page_text(page) == unescape(re.sub("<[^>]*>", " ", drop.sub(" ", page)))
+    for piece in ("<script>", "<", "<!--", '<div class="ad">', "</script ", "<script></style>"):
+        began = time.perf_counter()
+        page_text(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 2
