@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import sheet
+from ledgerloom.operators.storage import written
 from ledgerloom.plans.registered import query
 
 # The same text runs in Spark and in DuckDB.
@@ -80,7 +81,7 @@ def _placed(rows: DataFrame, order: str) -> DataFrame:
 
 
 def _orders(m: DataFrame, p: DataFrame) -> DataFrame:
-    shown = rows(m, p)
+    shown = written(rows(m, p), "sheet")  # six orders of one sheet
     return reduce(DataFrame.union, [_placed(shown, o).select("fonte", "id", F.lit(o).alias("ordenacao"), "posicao") for o in sheet.ORDERS])
 
 
