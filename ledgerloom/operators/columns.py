@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.documents import let
+
 #: Height of a band of texts that count as one row, and the gap in x that parts two columns, in the page's units.
 BAND, GAP = 15, 20
 #: Matches that a row must have to be a header.
@@ -30,19 +32,31 @@ COVERED = {"historico": ("tipo_pix",), "documento": ("tipo_pix",)}
 
 
 def _says(label: Column, field: str) -> Column:
+    """Whether a label in small letters holds one of a field's words; words that hold another of them add nothing."""
+    words = KEYWORDS[field]
     hit = F.lit(False)
-    for word in KEYWORDS[field]:
+    for word in (w for w in words if not any(o != w and o in w for o in words)):
         hit = hit | label.contains(word)
     return hit
 
 
+def _field(label: Column) -> Column:
+    """The first field that a label in small letters names, or null."""
+    field = F.lit(None).cast("string")
+    for name in reversed(KEYWORDS):
+        field = F.when(_says(label, name), name).otherwise(field)
+    return field
+
+
 def _bands(items: DataFrame, *page: str) -> DataFrame:
-    """page, faixa, primeiro (the band's first text by ordem) and colunas: x and titulo of each run of texts in a band.
+    """page, faixa, primeiro (the band's first text by ordem), largura (the greatest of its texts) and colunas: x and titulo
+    of each run of texts in a band.
 
-    A run goes on while texts begin at most GAP after its own beginning. Only a band of one page is gathered.
+    A run goes on while texts begin at most GAP after its own beginning. Only a band of one page is gathered. Texts are
+    dealt by page, so that what is made of a page's bands needs no further shuffle.
     """
-    d = items.withColumns({"str": F.trim("str"), "faixa": F.floor(F.col("y") / BAND + 0.5).cast("long")})
-    bands = d.groupBy(*page, "faixa").agg(F.min("ordem").alias("primeiro"), F.array_sort(F.collect_list(F.when(F.col("str") != "", F.struct("x", "ordem", "str")))).alias("t"))
+    d = items.withColumns({"str": F.trim("str"), "faixa": F.floor(F.col("y") / BAND + 0.5).cast("long")}).repartition(*page)
+    bands = d.groupBy(*page, "faixa").agg(F.min("ordem").alias("primeiro"), F.max("largura").alias("largura"), F.sort_array(F.collect_list(F.when(F.col("str") != "", F.struct("x", "ordem", "str")))).alias("t"))
     none = F.array().cast("array<struct<x:double,titulo:string>>")
 
     def add(runs: Column, t: Column) -> Column:
@@ -51,7 +65,7 @@ def _bands(items: DataFrame, *page: str) -> DataFrame:
         longer = F.array(F.struct(last["x"].alias("x"), F.concat_ws(" ", last["titulo"], t["str"]).alias("titulo")))
         return F.when(last.isNull() | (t["x"] - last["x"] > GAP), F.concat(runs, fresh)).otherwise(F.concat(F.slice(runs, 1, F.size(runs) - 1), longer))
 
-    return bands.select(*page, "faixa", "primeiro", F.aggregate("t", none, add).alias("colunas"))
+    return bands.select(*page, "faixa", "primeiro", "largura", F.aggregate("t", none, add).alias("colunas"))
 
 
 def header_columns(items: DataFrame, *page: str) -> DataFrame:
@@ -62,21 +76,20 @@ def header_columns(items: DataFrame, *page: str) -> DataFrame:
     way to its neighbours, the outer ones to the page's edges, as shares of its width.
     """
     bands = _bands(items, *page)
-    count = lambda field: F.size(F.filter("colunas", lambda c: _says(F.lower(c["titulo"]), field)))
-    fits = sum(map(count, KEYWORDS), F.lit(0))
-    best = bands.withColumn("_n", fits).groupBy(*page).agg(F.max_by("colunas", F.struct("_n", (-F.col("primeiro")).alias("p"))).alias("colunas"), F.max("_n").alias("_n")).where(F.col("_n") >= LEAST)
-    width = items.groupBy(*page).agg(F.max("largura").alias("largura")).where("largura > 0")
-    d = best.join(width, list(page)).withColumn("_x", F.transform("colunas", lambda c: c["x"] / F.col("largura")))
-    d = d.select(*page, "_x", F.size("colunas").alias("_m"), F.posexplode("colunas").alias("coluna_index", "c"))
+    # A title says a field once, and the sum takes one pass over a band's titles.
+    hits = lambda low: sum((_says(low, f).cast("int") for f in KEYWORDS), F.lit(0))
+    fits = F.aggregate(F.transform("colunas", lambda c: F.lower(c["titulo"])), F.lit(0), lambda n, low: n + hits(low))
+    # A page's widest text gives its width, be it in the header's band or not.
+    best = bands.withColumn("_n", fits).groupBy(*page).agg(F.max_by("colunas", F.struct("_n", (-F.col("primeiro")).alias("p"))).alias("colunas"), F.max("_n").alias("_n"), F.max("largura").alias("largura")).where((F.col("_n") >= LEAST) & (F.col("largura") > 0))
+    d = best.withColumn("_x", F.transform("colunas", lambda c: c["x"] / F.col("largura")))
+    # Fields are named before titles become rows: as a column of rows the long CASE would be worked out for a filter and again for the result.
+    named = F.transform("colunas", lambda c: F.struct(c["titulo"].alias("titulo"), let(F.lower(c["titulo"]), _field).alias("campo")))
+    d = d.select(*page, "_x", F.size("colunas").alias("_m"), F.posexplode(named).alias("coluna_index", "c"))
     at = lambda i: F.get("_x", F.col("coluna_index") + i)
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    low = F.lower("c.titulo")
-    field = F.lit(None).cast("string")
-    for name in reversed(KEYWORDS):
-        field = F.when(_says(low, name), name).otherwise(field)
     left = F.when(F.col("coluna_index") == 0, 0.0).otherwise((at(-1) + at(0)) / 2)
     right = F.when(F.col("coluna_index") == F.col("_m") - 1, 1.0).otherwise((at(0) + at(1)) / 2)
-    return d.select(*page, "coluna_index", field.alias("campo"), F.col("c.titulo").alias("titulo"), clamp(left).alias("x_inicio"), clamp(right).alias("x_fim")).where("campo IS NOT NULL")
+    return d.select(*page, "coluna_index", F.col("c.campo").alias("campo"), F.col("c.titulo").alias("titulo"), clamp(left).alias("x_inicio"), clamp(right).alias("x_fim")).where("campo IS NOT NULL")
 
 
 def has_direction_header(items: DataFrame, *page: str) -> DataFrame:
@@ -116,7 +129,7 @@ def field_texts(items: DataFrame, columns: DataFrame, *page: str) -> DataFrame:
 
     columns as from header_columns(); a text belongs to the column whose share of the width holds its beginning.
     """
-    d = items.withColumns({"str": F.trim("str"), "faixa": F.floor(F.col("y") / BAND + 0.5).cast("long"), "_s": F.col("x") / F.col("largura")}).where("str <> ''")
+    d = items.withColumns({"str": F.trim("str"), "faixa": F.floor(F.col("y") / BAND + 0.5).cast("long"), "_s": F.col("x") / F.col("largura")}).where("str <> ''").repartition(*page)
     met = d.join(columns.select(*page, "campo", "x_inicio", "x_fim"), list(page)).where("_s >= x_inicio AND (_s < x_fim OR x_fim = 1)")
-    each = met.groupBy(*page, "faixa", "campo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ordem", "str"))), lambda t: t["str"]), " ").alias("texto"))
+    each = met.groupBy(*page, "faixa", "campo").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "ordem", "str"))), lambda t: t["str"]), " ").alias("texto"))
     return each.groupBy(*page, "faixa").agg(F.map_from_entries(F.collect_list(F.struct("campo", "texto"))).alias("campos"))

@@ -67,3 +67,13 @@ def test_column_maps_are_checked(spark):
     found = {r.id: r.problema for r in columns.map_problems(table).collect()}
     assert found == {1: None, 2: None, 3: "Mapeie a coluna direcao", 4: "Mapeie direcao ou marque inferir do valor", 5: "paginaReferencia deve ser 1", 6: "Mapeie a coluna data", 7: "Mapeie a coluna valor", 8: "colunaIndex inválido para data", 9: "colunaIndex inválido para data", 10: None}
     assert {r.sessao_id: r.problema for r in columns.session_problems(table).collect()} == {1: None, 2: "Falta mapear remetente_destinatario em pelo menos um extrato", 3: "Falta mapear historico em pelo menos um extrato"}
+
+
+def test_header_columns_deal_texts_once(spark):
+    """All of a page's work follows from one shuffle, and its width is that of its widest text, in the header's band or not."""
+    items = spark.createDataFrame([(1, k, x, y, t, w) for k, (x, y, t, w) in enumerate([(10.0, 10.0, "Data", 100.0), (60.0, 10.0, "Valor", 100.0), (10.0, 40.0, "1", 200.0)])], "p int, ordem int, x double, y double, str string, largura double")
+    found = columns.header_columns(items, "p")
+    assert [(r.campo, r.x_inicio, r.x_fim) for r in found.orderBy("coluna_index").collect()] == [("data", 0.0, 0.175), ("valor", 0.175, 1.0)]
+    # The plan as it is made before it runs: joins of parts of a page would deal it again.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
