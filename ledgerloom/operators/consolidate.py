@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.documents import names_agree, normalize_name
+from ledgerloom.functions.documents import may_agree, name_masks, names_agree, normalize_name
 from ledgerloom.functions.fields import WINDOW, day_and_minutes, hour_minutes
 from ledgerloom.operators.storage import written
 
@@ -43,29 +43,57 @@ def _keys(name: Column) -> tuple[Column, Column]:
     return short, F.array_distinct(long)
 
 
+def _agree(x: Column, y: Column, mx: Column, my: Column) -> Column:
+    """names_agree(), which goes through tokens only where the names' masks allow it."""
+    return F.coalesce(F.when(may_agree(x, y, mx, my), names_agree(x, y)), F.lit(False))
+
+
 def people_by_name(names: DataFrame, registry: DataFrame) -> DataFrame:
     """nome, n_pessoas and unico (tipo and id, if there is one alone) of those normalised names that agree with people of the registry.
 
     names has nome. Distinct names are compared, each with the registry's names that share a blocking key, so a
-    frequent name costs one row and no pair that agrees is missed.
+    frequent name costs one row and no pair that agrees is missed. The distinct names are written, so that Spark knows
+    their size and few names meet the registry's keys without a shuffle.
     """
     who = F.struct("tipo", F.col("pessoa_id").alias("id"))
-    people = registry.groupBy(normalize_name(F.col("nome")).alias("_known")).agg(F.count("*").alias("_n"), F.min(who).alias("_who")).where(F.length("_known") > 3)
-    said = names.select("nome").distinct().where(F.length("nome") > 3)
+    people = registry.groupBy(normalize_name(F.col("nome")).alias("_known")).agg(F.count("*").alias("_n"), F.min(who).alias("_who")).where(F.length("_known") > 3).withColumn("_known_m", name_masks(F.col("_known")))
+    said = written(names.select("nome").distinct().where(F.length("nome") > 3).withColumn("_m", name_masks(F.col("nome"))), "names")
     (s_short, s_long), (p_short, p_long) = _keys(F.col("nome")), _keys(F.col("_known"))
-    meet = lambda a, b: said.select("nome", F.explode(a).alias("_key")).join(people.select("_known", "_n", "_who", F.explode(b).alias("_key")), "_key").drop("_key")
-    met = meet(s_short, p_long).unionByName(meet(s_long, p_short)).where(names_agree(F.col("nome"), F.col("_known"))).distinct()
+    meet = lambda a, b: said.select("nome", "_m", F.explode(a).alias("_key")).join(people.select("_known", "_known_m", "_n", "_who", F.explode(b).alias("_key")), "_key").drop("_key")
+    agreed = _agree(F.col("nome"), F.col("_known"), F.col("_m"), F.col("_known_m"))
+    met = meet(s_short, p_long).unionByName(meet(s_long, p_short)).where(agreed).drop("_m", "_known_m").distinct()
     found = met.groupBy("nome").agg(F.sum("_n").alias("n_pessoas"), F.min("_who").alias("unico"))
     return found.withColumn("unico", F.when(F.col("n_pessoas") == 1, F.col("unico")))
 
 
+def _known_to(lines: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """lines (with id) left-joined to known on a key; lines without it meet nothing and are spread over all tasks."""
+    spread = F.coalesce(F.col(key), F.concat(F.lit(" "), F.col("id").cast("string")))
+    d, other = lines.withColumn("_spread", spread), known.withColumnRenamed(key, "_known")
+    return d.join(other, (F.col("_spread") == F.col("_known")) & F.col(key).isNotNull(), "left").drop("_spread", "_known")
+
+
 def linked(lines: DataFrame, registry: DataFrame) -> DataFrame:
-    """Lines with what pair scoring needs of each: nome normalised, pf and pj (registered name and quem: tipo and id, by
-    the line's documents), n_pessoas and unico (how many people's names agree, and who if one alone), minutos (of hora) and dia_hora (of nr_documento)."""
+    """Lines with what pair scoring needs of each: nome normalised, marcas (its name_masks), pf and pj (quem: tipo and id,
+    registered nome and marcas, by the line's documents), n_pessoas and unico (how many people's names agree, and who if one
+    alone), minutos (of hora) and dia_hora (of nr_documento).
+
+    The lines are written once and asked for their distinct documents and names; what the registry says of those is
+    written as well, so that Spark knows its size: a frequent document or name, or none, fills no task of a join.
+    """
     who = F.struct("tipo", F.col("pessoa_id").alias("id"))
-    of = lambda kind, name, key: registry.where(F.col("tipo") == kind).groupBy(F.col("documento").alias(key)).agg(F.min(F.struct(who.alias("quem"), normalize_name(F.col("nome")).alias("nome"))).alias(name))
-    d = lines.withColumns({"nome": normalize_name(F.col("nome")), "minutos": hour_minutes(F.col("hora")), "dia_hora": day_and_minutes(F.col("nr_documento"))}).drop("hora", "nr_documento")
-    return d.join(of("PF", "pf", "cpf"), "cpf", "left").join(of("PJ", "pj", "cnpj"), "cnpj", "left").join(people_by_name(d, registry), "nome", "left")
+    named = {"nome": normalize_name(F.col("nome")), "minutos": hour_minutes(F.col("hora")), "dia_hora": day_and_minutes(F.col("nr_documento"))}
+    d = written(lines.withColumns(named).drop("hora", "nr_documento"), "lines")
+
+    def of(kind: str, name: str, key: str) -> DataFrame:
+        said = d.where(F.col(key).isNotNull()).select(F.col(key).alias("documento")).distinct()
+        people = registry.where(F.col("tipo") == kind).join(said, "documento", "left_semi").groupBy(F.col("documento").alias(key)).agg(F.min(F.struct(who.alias("quem"), normalize_name(F.col("nome")).alias("nome"))).alias("p"))
+        return written(people.select(key, F.struct("p.quem", "p.nome", name_masks(F.col("p.nome")).alias("marcas")).alias(name)), name)
+
+    d = d.withColumn("marcas", name_masks(F.col("nome")))
+    for known, key in ((of("PF", "pf", "cpf"), "cpf"), (of("PJ", "pj", "cnpj"), "cnpj"), (written(people_by_name(d, registry), "by_name"), "nome")):
+        d = _known_to(d, known, key)
+    return d
 
 
 def candidate_pairs(lines: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -86,9 +114,14 @@ def candidate_pairs(lines: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     across = met.select(*keys, *[e.alias(f"a_{c}") for c, e in zip(others, pick("p", "c"))], *[e.alias(f"b_{c}") for c, e in zip(others, pick("c", "p"))])
     day = lines.withColumn("_day", F.col("data_movimento"))
     a, b = day.select(*keys, "_day", *side("a")), day.select(*keys, "_day", *side("b"))
-    cross = F.col("a_papel").isin("PIX", "COMPLETO") & F.col("b_papel").isin("PIX", "COMPLETO") & (F.col("a_papel") != F.col("b_papel"))
-    same_day = a.join(b, [*keys, "_day"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_arquivo_id") != F.col("b_arquivo_id"))).where("coalesce(a_conta_id = b_conta_id, true)").where(~cross)
-    return across.unionByName(same_day.drop("_day"))
+    apart = "a_arquivo_id <> b_arquivo_id AND coalesce(a_conta_id = b_conta_id, true)"
+    # Lines of one role, and those of a third role with all others: PIX and COMPLETO, met above, never meet here.
+    role = [*keys, "_day", "_papel"]
+    alike = a.withColumn("_papel", F.col("a_papel")).join(b.withColumn("_papel", F.col("b_papel")), role).where("a_id < b_id").where(apart).drop("_papel")
+    third = a.where("a_papel NOT IN ('PIX', 'COMPLETO')").join(b, [*keys, "_day"]).where("NOT a_papel <=> b_papel AND (a_id < b_id OR b_papel IS NULL OR b_papel IN ('PIX', 'COMPLETO'))").where(apart)
+    first = F.col("a_id") < F.col("b_id")
+    ordered = third.select(*keys, "_day", *[F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in (("a", "b"), ("b", "a")) for c in others])
+    return across.unionByName(alike.drop("_day")).unionByName(ordered.drop("_day"))
 
 
 def main_pairs(scored: DataFrame) -> DataFrame:
@@ -107,18 +140,18 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
     The first rule that holds counts; of documents known on one side b's stand before a's, CPF before CNPJ. fraco: nothing but value
     and date agree, or the hours lie more than HOUR_APART minutes apart. All of a line's own work was done before lines
-    were paired, so a pair costs three comparisons of normalised names at most and no join.
+    were paired, so a pair costs three comparisons of normalised names at most, mostly of their masks, and no join.
     """
     same = lambda f: F.coalesce(F.col(f"a_{f}") == F.col(f"b_{f}"), F.lit(False))
     sided = lambda f, of: F.when(F.col(f"b_{of}").isNotNull(), F.col(f"b_{f}")).otherwise(F.col(f"a_{f}"))
     roles = lambda x, y: (F.col(f"{x}_papel") == "PIX") & (F.col(f"{y}_papel") == "COMPLETO")
     on_time = lambda x, y: roles(x, y) & (F.col(f"{y}_dia_hora.day") == F.dayofmonth(f"{x}_data_movimento")) & (F.abs(F.col(f"{y}_dia_hora.minutes") - F.col(f"{x}_minutos")) <= HOUR_NEAR)
     d = pairs.withColumns({"_pf": sided("pf", "cpf"), "_pj": sided("pj", "cnpj"), "_hour": F.coalesce(on_time("a", "b") | on_time("b", "a"), F.lit(False))})
-    d = d.withColumns({"_names": names_agree(F.col("a_nome"), F.col("b_nome")), "_pix_unico": F.when(F.col("a_papel") == "PIX", F.col("a_unico")).otherwise(F.col("b_unico"))})
+    d = d.withColumns({"_names": _agree(F.col("a_nome"), F.col("b_nome"), F.col("a_marcas"), F.col("b_marcas")), "_pix_unico": F.when(F.col("a_papel") == "PIX", F.col("a_unico")).otherwise(F.col("b_unico"))})
 
     def registered(person: str) -> Column:
-        own = F.col(f"{person}.nome")
-        return F.col(person).isNotNull() & (F.col("_names") | names_agree(F.col("a_nome"), own) | names_agree(F.col("b_nome"), own))
+        says = lambda x: _agree(F.col(f"{x}_nome"), F.col(f"{person}.nome"), F.col(f"{x}_marcas"), F.col(f"{person}.marcas"))
+        return F.col(person).isNotNull() & (F.col("_names") | says("a") | says("b"))
 
     by_document = F.coalesce(F.col("_pf.quem"), F.col("_pj.quem"))
     at_hour, by_name = F.coalesce(by_document, F.col("_pix_unico")), F.coalesce(by_document, F.col("a_unico"), F.col("b_unico"))

@@ -165,3 +165,25 @@ def test_greedy_pairs_ties_off_at_once(spark):
     pairs = spark.createDataFrame([*whole, *broken, *crossed, *bridge], "a_id long, b_id long, a_data_movimento date, confianca double")
     found = consolidate.assign(pairs).select("a_id", "b_id", "confianca").collect()
     assert plain(found) == plain(brute_greedy(pairs.collect()))
+
+
+@pytest.mark.parametrize("name", ["pair_join", "registry_link"])
+def test_lines_are_made_once(spark, name):
+    """Lines are written before they are joined, so no join makes them anew from the statement table."""
+    assert not [f for f in registered.queries()[name](spark, SF).inputFiles() if "lineitem" in f]
+
+
+def test_masks_lose_no_name_that_agrees(spark):
+    names = ["ANA LIMA", "A LIMA", "ANA L", "LIMA ANA MARIA", "A L M N", "SUPPLIER 3", "SUPPLIER 34", "SUPPLIER#000000003", "MARIA MARIA", "MARIA", "JOSE", "3 SUPPLIER"]
+    d = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    d = d.withColumns({"agree": D.names_agree(F.col("a"), F.col("b")), "may": D.may_agree(F.col("a"), F.col("b"), D.name_masks(F.col("a")), D.name_masks(F.col("b")))})
+    assert d.where("agree").count() > len(names) and d.where("agree AND NOT may").count() == 0
+    assert d.where("a = 'ANA LIMA' AND b = 'JOSE' AND may").count() == 0
+
+
+def test_lines_of_a_third_role_meet_all_of_their_day(spark):
+    day = datetime.date(2025, 1, 1)
+    rows = [(i, i, role, day, Decimal(1), "C") for i, role in enumerate(["PIX", "COMPLETO", "OUTRO", "PIX", "OUTRO", "COMPLETO", "X"])]
+    lines = spark.createDataFrame(rows, "id long, arquivo_id long, papel string, data_movimento date, valor decimal(15,2), direcao string").withColumn("conta_id", F.lit(None).cast("long"))
+    found = sorted((r.a_id, r.b_id) for r in consolidate.candidate_pairs(lines).select("a_id", "b_id").collect())
+    assert found == [(a, b) for a in range(7) for b in range(a + 1, 7)]
