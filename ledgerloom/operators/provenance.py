@@ -61,25 +61,33 @@ def event_origins(events: DataFrame, event_lines: DataFrame, lines: DataFrame) -
     members = event_lines.join(lines.select("id", "cpf", "origem"), "id").groupBy("evento_id").agg(F.array_sort(F.collect_list(F.struct("posicao", "id", "cpf", "origem")), lambda a, b: F.when(a["posicao"] < b["posicao"], -1).when(a["posicao"] > b["posicao"], 1).otherwise(0)).alias("linhas"))
     d = events.select("evento_id", F.coalesce("justificativa", F.lit("")).alias("_dito"), "confianca", "pessoa").join(members, "evento_id", "left")
     d = d.withColumns({"linhas": F.coalesce("linhas", F.array().cast(members.schema["linhas"].dataType)), "_regra": rule_of(F.col("_dito"))})
+    # What several references are made of is a column of its own, so that it is worked out once for an event.
+    documented = F.filter("linhas", lambda m: (F.coalesce(m["cpf"], F.lit("")) != "") | m["origem"]["cpf"].isNotNull() | m["origem"]["cnpj"].isNotNull())
+    d = d.withColumns({"_documentada": F.get(documented, F.lit(0)), "_primeira": F.get("linhas", F.lit(0)), "_ids": F.transform("linhas", lambda m: m["id"])})
+    d = d.withColumns({"_cpf": _of_page(F.col("_documentada"), "cpf"), "_cpf_primeira": _of_page(F.col("_primeira"), "cpf")})
     n, none = F.size("linhas"), F.array().cast(f"array<{REFERENCE}>")
     each = lambda field: F.transform("linhas", lambda m: _or_missing(_of_page(m, field)))
-    ids = F.transform("linhas", lambda m: m["id"])
-    crossed = lambda detail: F.array(_reference(tipo="CRUZAMENTO_PDF", movimentacao_ids=ids, regra=F.col("_regra"), detalhe=detail))
-    documented = F.filter("linhas", lambda m: (F.coalesce(m["cpf"], F.lit("")) != "") | m["origem"]["cpf"].isNotNull() | m["origem"]["cnpj"].isNotNull())
+    crossed = lambda detail: F.array(_reference(tipo="CRUZAMENTO_PDF", movimentacao_ids=F.col("_ids"), regra=F.col("_regra"), detalhe=detail))
     some = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
-    first = F.get("linhas", F.lit(0))
-    of_lines = F.when(n >= 2, F.concat(crossed(F.col("_dito")), some(_of_page(F.get(documented, F.lit(0)), "cpf")))).when(n == 1, F.array(F.coalesce(_of_page(first, "cpf"), _or_missing(_of_page(first, "nome"))))).otherwise(none)
+    of_lines = F.when(n >= 2, F.concat(crossed(F.col("_dito")), some(F.col("_cpf")))).when(n == 1, F.array(F.coalesce(F.col("_cpf_primeira"), _or_missing(_of_page(F.col("_primeira"), "nome"))))).otherwise(none)
     by_name = F.col("_dito").contains(BY_NAME[0]) | F.col("_dito").contains(BY_NAME[1])
-    of_registry = some(F.when(F.col("pessoa").isNotNull(), _reference(tipo="CADASTRO_UF", pessoa=F.col("pessoa"), match_tipo=F.when(by_name, "NOME_CADASTRO").otherwise("CPF_CADASTRO"))))
-    person = F.concat(of_lines, of_registry)
+    known = _reference(tipo="CADASTRO_UF", pessoa=F.col("pessoa"), match_tipo=F.when(by_name, "NOME_CADASTRO").otherwise("CPF_CADASTRO"))
+    of_registry = F.when(F.col("pessoa").isNotNull(), F.array(known)).otherwise(none)
+    d = d.withColumn("_pessoa", F.concat(of_lines, of_registry))
     score = F.concat(F.lit("confianca="), F.regexp_replace(F.col("confianca").cast("string"), r"\.0$", ""))
     return d.select(
         "evento_id", each("data").alias("data_movimento"), each("valor").alias("valor"), each("direcao").alias("direcao"),
-        F.when(F.size(person) > 0, person).otherwise(F.array(_reference(tipo="INDISPONIVEL", motivo="sem_vinculo"))).alias("pessoa"),
-        F.when(n >= 2, crossed(F.col("_dito"))).otherwise(crossed(score)).alias("confianca"),
+        F.when(F.size("_pessoa") > 0, F.col("_pessoa")).otherwise(F.array(_reference(tipo="INDISPONIVEL", motivo="sem_vinculo"))).alias("pessoa"),
+        crossed(F.when(n >= 2, F.col("_dito")).otherwise(score)).alias("confianca"),
     )
 
 
+def reference_rows(origins: DataFrame) -> DataFrame:
+    """evento_id, atributo, posicao and r: a row for each reference. The rows of origins are read once for all attributes."""
+    each = origins.select("evento_id", F.explode(F.array(*[F.struct(F.lit(a).alias("atributo"), F.col(a).alias("refs")) for a in ATTRIBUTES])).alias("x"))
+    return each.select("evento_id", "x.atributo", F.posexplode("x.refs").alias("posicao", "r"))
+
+
 def references_json(origins: DataFrame) -> DataFrame:
     """evento_id and origem_atributos: version and references as JSON, each with the fields of its kind."""
     return origins.select("evento_id", F.to_json(F.struct(F.lit(1).alias("versao"), *ATTRIBUTES)).alias("origem_atributos"))
