@@ -9,7 +9,7 @@ longest chain of events of which each takes the main line of the one before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.cells import name_is_empty
@@ -114,8 +114,8 @@ def decided(events: DataFrame, decisions: DataFrame) -> DataFrame:
 
     An approval wants a pending event, so it counts only as the first decision on it; a rejection is always taken.
     """
-    first = decisions.groupBy("evento_id").agg(F.min("ordem").alias("_first"))
-    d = decisions.join(first, "evento_id").join(events.select("evento_id", "status"), "evento_id", "left")
+    first = F.min("ordem").over(Window.partitionBy("evento_id"))
+    d = decisions.withColumn("_first", first).join(events.select("evento_id", "status"), "evento_id", "left")
     good = (F.col("status") == "PENDENTE") & (F.col("ordem") == F.col("_first"))
     result = F.when(F.col("decisao") == "REJEITAR", F.when(F.col("status").isNotNull(), "rejeitado").otherwise(NOT_FOUND)).when(F.col("status").isNull(), NOT_FOUND).when(good, "aprovado").otherwise(PROCESSED)
     return d.select("evento_id", "ordem", "decisao", result.alias("resultado"))

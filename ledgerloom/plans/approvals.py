@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import approval
+from ledgerloom.operators.storage import written
 from ledgerloom.plans.registered import query
 
 # Lines with documents and counterparties; the same text runs in Spark and in DuckDB.
@@ -27,10 +28,10 @@ def case(m: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return lines, spark.sql(EVIDENCE, m=m), spark.sql(PEOPLE, p=p)
 
 
-def told(lines: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Lines with their evidence as one text."""
+def told(lines: DataFrame, evidence: DataFrame, *more: str) -> DataFrame:
+    """Lines with their evidence as one text, and more of their columns."""
     proofs = evidence.groupBy(F.col("movimentacao_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "tipo", F.round(F.col("peso") * 10000).cast("long").cast("string")))), ",").alias("evidencias"))
-    return lines.join(proofs, "id", "left").select("id", "pessoa.tipo", F.col("pessoa.id").alias("pessoa"), "confianca", "bloqueio_export", "status", F.coalesce("evidencias", F.lit("")).alias("evidencias"))
+    return lines.join(proofs, "id", "left").select("id", "pessoa.tipo", F.col("pessoa.id").alias("pessoa"), "confianca", "bloqueio_export", "status", F.coalesce("evidencias", F.lit("")).alias("evidencias"), *more)
 
 
 _NORMAL = "trim(upper({0}))"
@@ -83,15 +84,23 @@ def events_of(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _cascade(m: DataFrame, p: DataFrame) -> dict[str, DataFrame]:
+    """The fixture's tables, each written once, as an approval reads them several times."""
     lines, evidence, people = case(m, p)
-    events, event_lines, decisions = events_of(lines)
+    lines = written(lines, "lines")
+    events, event_lines, decisions = (written(d, n) for d, n in zip(events_of(lines), ("events", "event_lines", "decisions")))
     return approval.approve(lines, evidence, events, event_lines, people, decisions)
 
 
+def _decisions(m: DataFrame, p: DataFrame) -> DataFrame:
+    """What each decision meets depends on events and decisions alone."""
+    events, _, decisions = events_of(case(m, p)[0])
+    return approval.decided(events, decisions)
+
+
 def _final_lines(m: DataFrame, p: DataFrame) -> DataFrame:
     done = _cascade(m, p)
-    return told(done["linhas"], done["evidencias"]).join(done["linhas"].select("id", "canonica_id", "remetente_destinatario", "descricao_raw"), "id")
+    return told(done["linhas"], done["evidencias"], "canonica_id", "remetente_destinatario", "descricao_raw")
 
 
 query("approval_lines", "movimentacao pessoa")(_final_lines)
-query("approval_decisions", "movimentacao pessoa")(lambda m, p: _cascade(m, p)["decisoes"])
+query("approval_decisions", "movimentacao pessoa")(_decisions)
