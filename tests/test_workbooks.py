@@ -103,3 +103,30 @@ def test_header_previews(spark):
     cells = spark.createDataFrame([(a, n, [("texto", t) for t in c]) for a, n, c in rows], f"arquivo string, linha long, celulas array<{xlsx.CELL}>")
     found = {r.arquivo: (r.titulos, r.sem_cabecalho, r.documento, r.nome, r.tipo) for r in sheets.header_preview(cells).collect()}
     assert found == {"a": (["Razão Social", "CNPJ"], False, "CNPJ", "Razão Social", None), "b": (["nome", "documento", "tipo", "coluna_4"], True, "documento", "nome", "tipo"), "c": (["Apelido", "Cor"], False, None, None, None), "d": ([], False, None, None, None)}
+
+
+def test_our_sheets_take_the_quick_path_and_others_the_parser(tmp_path):
+    def book(path, sheets):
+        with open(path, "wb") as f:
+            b = xlsx._Book(xlsx._Counted(f), 3)
+            for name, cells in sheets:
+                b.add(name, [c and c[0] for c in cells], [c and c[1] for c in cells])
+            b.close()
+        return path.read_bytes()
+
+    rows = [("A", [*CELLS, ("texto", "&amp; x\ny")]), ("A", [None, ("numero", "3")]), ("A", [("texto", "last")]), ("A", [("texto", "on")])]
+    raw = book(tmp_path / "a.xlsx", rows)
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as z:
+        path = "xl/worksheets/sheet1.xml"
+        dates, slow = xlsx._date_styles(z), list(xlsx._rows(z.open(path), [], xlsx._date_styles(z), xlsx.EPOCH))
+        assert list(xlsx._plain_rows(z.open(path), [], dates, xlsx.EPOCH)) == slow and [n for n, _ in slow] == [1, 2, 3]
+    # A full first sheet goes on in the next, whose rows are counted on; one that isn't full doesn't.
+    assert [r[2] for r in xlsx.rows_of_book(raw, True, 3)] == [1, 2, 3, 4] and [r[2] for r in xlsx.rows_of_book(raw, True, 4)] == [1, 2, 3]
+    # A carriage return, a number's entity or a comment in a later row leaves it and the rows after it to the parser.
+    for odd in ("a\r\nb", "&#65;", "<!-- c -->d"):
+        text = f'<row r="1"><c r="A1"><v>1</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t xml:space="preserve">{odd}</t></is></c></row><row r="3"><c r="B3"><v>2</v></c></row>'
+        foreign(tmp_path / "b.xlsx", text)
+        with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+            z.writestr("s.xml", xlsx._HEAD + text.encode() + xlsx._TAIL)
+        with zipfile.ZipFile(tmp_path / "c.xlsx") as z:
+            assert list(xlsx._rows_of_sheet(z, "s.xml", [], [], xlsx.EPOCH)) == list(xlsx._rows(z.open("s.xml"), [], [], xlsx.EPOCH))
