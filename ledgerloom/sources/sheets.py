@@ -88,7 +88,8 @@ def statement_rows(cells: DataFrame) -> DataFrame:
     erro and no values; a file without a required column gives one row with its erro and no linha. An ingest takes a file
     whole or not at all: see refused().
     """
-    cells = cells.where("celulas IS NOT NULL")
+    # Written, so that a workbook is taken apart once, though its titles and its rows are asked for apart.
+    cells = written(cells.select("arquivo", "linha", "celulas").where("celulas IS NOT NULL"), "cells")
     names = (*REQUIRED, OPTIONAL)
     first = cells.groupBy("arquivo").agg(F.min_by(F.struct(F.col("linha").alias("_inicio"), _texts("celulas").alias("_titulos")), "linha").alias("h")).select("arquivo", "h.*")
     keys = F.reverse(F.transform("_titulos", lambda t: F.lower(t)))
@@ -161,7 +162,7 @@ def registry_rows(cells: DataFrame, column_map: dict[str, str] | None = None, he
     blank in the fields are left out. The type is told or follows from the document's length; an error leaves tipo,
     documento and nome null. A file without its columns gives one row with its erro and no linha.
     """
-    cells = cells.where("celulas IS NOT NULL")
+    cells = written(cells.select("arquivo", "linha", "celulas").where("celulas IS NOT NULL"), "cells")
     heads = registry_heads(cells, column_map, headerless)
     d = cells.withColumn("_n", F.row_number().over(Window.partitionBy("arquivo").orderBy("linha")).cast("long")).join(heads.where("_erro IS NULL"), "arquivo").where("sem_cabecalho OR linha > 1")
     text = lambda f: F.when(F.col(f"_{f}") < F.col("_colunas"), _at(f"_{f}")["texto"])
