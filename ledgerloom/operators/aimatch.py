@@ -39,6 +39,8 @@ def people_holding(words: DataFrame, registry: DataFrame) -> DataFrame:
     runs = words.withColumn("_run", F.explode(F.array_distinct(_grams(F.col("palavra"), GRAM)))).join(sizes, "_run", "left")
     # A word with a run that no name has is in no name.
     rarest = runs.groupBy("palavra").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("r")).where("r.n > 0").select("palavra", "r._run")
+    # Written, so that Spark knows its size: few words meet the index without a shuffle of it, in which a run of most names would fill one task.
+    rarest = written(rarest, "rarest")
     met = rarest.join(posted, "_run").where(F.col("nome").contains(F.col("palavra")))
     place = F.row_number().over(Window.partitionBy("palavra", "tipo").orderBy("pessoa_id"))
     return met.withColumn("k", place).where(F.col("k") <= PEOPLE).drop("_run")
@@ -50,11 +52,13 @@ def candidates(lines: DataFrame, registry: DataFrame) -> DataFrame:
     First those whose documents stand in the text (UNKNOWN for a document that the registry lacks), then for each of its
     words the people whose names hold it, PF before PJ, by id.
     """
-    d = lines.select("id", "descricao_raw")
-    known = registry.groupBy("tipo", "documento").agg(F.min("nome").alias("nome"))
-    said = d.select("id", F.posexplode(documents_in_text(F.coalesce("descricao_raw", F.lit("")))).alias("at", "documento")).withColumn("tipo", F.when(F.length("documento") == 11, "PF").otherwise("PJ"))
+    d = written(lines.select("id", documents_in_text(F.coalesce("descricao_raw", F.lit(""))).alias("documentos"), probe_words(F.col("descricao_raw")).alias("palavras")), "asked")
+    said = d.select("id", F.posexplode("documentos").alias("at", "documento")).withColumn("tipo", F.when(F.length("documento") == 11, "PF").otherwise("PJ"))
+    # Only people whose documents are said are looked up, and written, so that Spark knows their size: a frequent document fills no task of a join.
+    known = registry.join(said.select("tipo", "documento").distinct(), ["tipo", "documento"], "left_semi").groupBy("tipo", "documento").agg(F.min("nome").alias("nome"))
+    known = written(known, "known")
     of_documents = said.join(known, ["tipo", "documento"], "left").select("id", F.struct(F.lit(0).alias("a"), F.col("at").alias("b"), F.lit("").alias("c"), F.lit(0).alias("d")).alias("_at"), "tipo", "documento", F.coalesce("nome", F.lit(UNKNOWN)).alias("nome"))
-    asked = d.select("id", F.posexplode(probe_words(F.col("descricao_raw"))).alias("at", "palavra"))
+    asked = d.select("id", F.posexplode("palavras").alias("at", "palavra"))
     held = written(people_holding(asked, registry), "probe")
     of_words = asked.join(held, "palavra").select("id", F.struct(F.lit(1).alias("a"), F.col("at").alias("b"), F.col("tipo").alias("c"), F.col("k").alias("d")).alias("_at"), "tipo", "documento", "nome")
     # A line has few candidates: its documents and at most WORDS times two times PEOPLE names.
