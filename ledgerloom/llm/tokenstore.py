@@ -34,12 +34,20 @@ REACH, LEAST, MEAN, MOST = 8, 128, 512, 4096
 #: Names of chunks that a task has already sent on, at most; more may be sent again and are dropped after the shuffle.
 SENT = 200_000
 MEMO = 800_000
+#: New pieces that the library gets as lines of one text.
+LINED = 512
 #: Documents below one node of the manifest's tree.
 FAN = 1024
 #: The byte-level pre-tokenizer's pattern; pieces never merge across its cuts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _plain(piece: str) -> bool:
+    """Whether a piece, but for one space before it, is letters and digits or printable ASCII: such a line is one piece in any text of lines."""
+    body = piece[1:] if piece[0] == " " else piece
+    return body.isalnum() or (body.isascii() and body.isprintable() and body != "" and " " not in body)
+
+
 class PieceTokenizer:
     """The tokenizers library over pieces, with a bounded memo of those already seen.
 
@@ -52,8 +60,27 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = splitter(PATTERN)
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.memo: dict[str, bytes] = {}
 
+    def _encode_each(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found))
+
+    def _encode_lined(self, pieces: list[str]) -> None:
+        """Encodes pieces as the lines of one text, whose line ends are pieces of their own: a call costs more than a piece does."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(pieces) - 1:
+            return  # left to _encode_each
+        raw, start = ids.tobytes(), 0
+        for piece, end in zip(pieces, [*(4 * ends).tolist(), len(raw)]):
+            self.memo[piece] = raw[start:end]
+            start = end + 4
+
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
         split = [[] if i in whole else self.split(t or "") for i, t in enumerate(texts)]
@@ -61,10 +88,10 @@ class PieceTokenizer:
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found))
+        lined = [p for p in new if _plain(p)] if self.line_end is not None else []
+        for at in range(0, len(lined), LINED):
+            self._encode_lined(lined[at : at + LINED])
+        self._encode_each([p for p in new if p not in self.memo])
         for i, pieces in enumerate(split):
             split[i] = None
             if i in whole:
