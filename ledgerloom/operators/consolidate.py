@@ -219,17 +219,58 @@ def assign(pairs: DataFrame) -> DataFrame:
     return taken if taken is not None else spark.createDataFrame([], left.schema).drop("rank")
 
 
-def singles(lines: DataFrame, taken: DataFrame, scored: DataFrame) -> DataFrame:
-    """The linked() lines in no taken pair: id, confianca (by registered document, by a name that is unique, or neither) and
-    n_hipoteses, the number of their weak pairs. The hypotheses themselves are rows of weak_pairs()."""
+def _alone(lines: DataFrame, taken: DataFrame, hypotheses: DataFrame) -> DataFrame:
     used = taken.select(F.explode(F.array("a_id", "b_id")).alias("id"))
-    other = weak_pairs(scored).groupBy("id").agg(F.count("*").alias("n_hipoteses"))
-    alone = lines.join(used, "id", "left_anti").join(other, "id", "left")
+    alone = lines.join(used, "id", "left_anti").join(hypotheses, "id", "left")
     known = F.col("pf").isNotNull() | F.col("pj").isNotNull()
     confidence = F.when(known, SINGLE_DOCUMENT).when(F.col("unico").isNotNull(), SINGLE_NAME).otherwise(SINGLE_NOTHING)
     return alone.select("id", confidence.alias("confianca"), F.coalesce("n_hipoteses", F.lit(0)).alias("n_hipoteses"))
 
 
+def singles(lines: DataFrame, taken: DataFrame, scored: DataFrame) -> DataFrame:
+    """The linked() lines in no taken pair: id, confianca (by registered document, by a name that is unique, or neither) and
+    n_hipoteses, the number of their weak pairs. The hypotheses themselves are rows of weak_pairs()."""
+    return _alone(lines, taken, weak_pairs(scored).groupBy("id").agg(F.count("*").alias("n_hipoteses")))
+
+
+def singles_counted(lines: DataFrame, taken: DataFrame, strong: DataFrame) -> DataFrame:
+    """What singles() gives, from the pairs that are not weak alone (a_id, b_id): a line's weak pairs are all its pairs less those."""
+    ends = strong.select(F.explode(F.array("a_id", "b_id")).alias("id")).groupBy("id").agg(F.count("*").alias("_strong"))
+    other = partner_counts(lines).join(ends, "id", "left").select("id", (F.col("n_pares") - F.coalesce("_strong", F.lit(0))).alias("n_hipoteses"))
+    return _alone(lines, taken, other)
+
+
+def partner_counts(lines: DataFrame) -> DataFrame:
+    """id and n_pares, the number of candidate_pairs() that each line is in, counted without making them.
+
+    Lines are grouped by what decides whether they meet; those of a line's days and roles are counted, less those of its
+    own file, itself among them. The work grows with the groups of a day and amount, of which there are few, not with pairs.
+    """
+    role = F.when(F.col("papel").isin("PIX", "COMPLETO"), F.col("papel")).when(F.col("papel").isNotNull(), "OUTRO").otherwise("NENHUM")
+    d = lines.select("id", "valor", "direcao", F.col("data_movimento").alias("dia"), role.alias("papel"), "conta_id", "arquivo_id")
+    keys = ["valor", "direcao", "dia", "papel", "conta_id"]
+    day, pair = F.col("dia"), lambda x, y: (F.col("papel") == x) & (F.col("_papel") == y)
+    days = F.when(F.col("papel") == "PIX", F.sequence(day, F.date_add(day, WINDOW))).when(F.col("papel") == "COMPLETO", F.sequence(F.date_sub(day, WINDOW), day)).otherwise(F.array(day))
+    in_window = pair("PIX", "COMPLETO") | pair("COMPLETO", "PIX")
+    on_day = (F.col("papel") == "OUTRO") | (F.col("_papel") == "OUTRO") | ((F.col("papel") == F.col("_papel")) & (F.col("papel") != "NENHUM"))
+    meets = (in_window | ((F.col("_day") == day) & on_day)) & F.coalesce(F.col("conta_id") == F.col("_conta"), F.lit(True))
+
+    def met(*file: str) -> DataFrame:
+        groups = d.where("arquivo_id IS NOT NULL").groupBy(*keys, *file).agg(F.count("*").alias("_n"))
+        other = groups.select("valor", "direcao", *file, F.col("dia").alias("_day"), F.col("papel").alias("_papel"), F.col("conta_id").alias("_conta"), "_n")
+        near = groups.drop("_n").withColumn("_day", F.explode(days)).join(other, ["valor", "direcao", *file, "_day"])
+        return near.where(meets).groupBy(*keys, *file).agg(F.sum("_n").alias("_n"))
+
+    def counted(x: DataFrame, name: str, *file: str) -> DataFrame:
+        y = met(*file).select(*[F.col(k).alias(f"_{k}") for k in (*keys, *file)], F.col("_n").alias(name))
+        same = [F.col("conta_id").eqNullSafe(F.col("_conta_id")), *[F.col(k) == F.col(f"_{k}") for k in (*keys[:-1], *file)]]
+        return x.join(y, same, "left").drop(*[f"_{k}" for k in (*keys, *file)])
+
+    files = counted(d.where("arquivo_id IS NOT NULL"), "_own", "arquivo_id")
+    # The statement table may repeat an id; its rows count together, as they do in pairs.
+    return counted(files, "_all").groupBy("id").agg(F.sum(F.coalesce("_all", F.lit(0)) - F.coalesce("_own", F.lit(0))).alias("n_pares"))
+
+
 def cap_same_value(events: DataFrame, keys: tuple[str, ...] = ("data_movimento", "valor", "direcao")) -> DataFrame:
     """Adds n_mesmo_valor, and caps the confidence of events that share date, amount and direction unless a person is strongly linked.
 
