@@ -15,43 +15,64 @@ Folder of a store:
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bpe import slices
-from ledgerloom.llm.pretokens import splitter
+from ledgerloom.llm.pretokens import byte_level_cuts
 from ledgerloom.llm.shared import delete_path, ship
 
 #: Ids that the rolling hash sees, and the bounds and mean of a chunk's length in ids.
 REACH, LEAST, MEAN, MOST = 8, 128, 512, 4096
+#: Ids that are hashed at once.
+BLOCK = 1 << 15
 #: Names of chunks that a task has already sent on, at most; more may be sent again and are dropped after the shuffle.
 SENT = 200_000
-MEMO = 800_000
+#: Pieces and their characters that a worker's memo holds, at most; then it starts again.
+MEMO, MEMO_CHARACTERS = 800_000, 50_000_000
+#: Bytes of texts that are encoded at once; a longer text is encoded alone.
+SLICE = 4_000_000
 #: New pieces that the library gets as lines of one text.
 LINED = 512
+#: A piece that is one in any text of lines: letters and digits or printable ASCII, but for one space before them.
+PLAIN = re.compile(r" ?(?:[^\W_]+|[!-~]+)").fullmatch
 #: Documents below one node of the manifest's tree.
 FAN = 1024
-#: The byte-level pre-tokenizer's pattern; pieces never merge across its cuts.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _plain(piece: str) -> bool:
-    """Whether a piece, but for one space before it, is letters and digits or printable ASCII: such a line is one piece in any text of lines."""
-    body = piece[1:] if piece[0] == " " else piece
-    return body.isalnum() or (body.isascii() and body.isprintable() and body != "" and " " not in body)
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of texts without nulls, and their bytes."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return bounds - bounds[0], np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch's texts in arrays of bounded size, so that the columns made of them stay small."""
+    sizes, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + SLICE, "right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 class PieceTokenizer:
     """The tokenizers library over pieces, with a bounded memo of those already seen.
 
-    Texts with one of the file's added tokens go to the library whole: those are found before any cut into pieces.
+    The pieces of many texts are cut and numbered as columns; Python sees the distinct ones only. The memo gives each
+    piece a number, under which its ids lie in one array. Texts with one of the file's added tokens go to the library
+    whole: those are found before any cut into pieces.
     """
 
     def __init__(self, path: str):
@@ -59,45 +80,92 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = splitter(PATTERN)
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 else None
-        self.memo: dict[str, bytes] = {}
+        self._forget()
 
-    def _encode_each(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found))
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.characters = 0
+        self.ids, self.starts, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _encode_lined(self, pieces: list[str]) -> None:
-        """Encodes pieces as the lines of one text, whose line ends are pieces of their own: a call costs more than a piece does."""
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, and where those of each begin and how many they are."""
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.concatenate(found), np.cumsum(sizes) - sizes, sizes
+
+    def _lined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for plain pieces, as the lines of one text, whose line ends are pieces of their own: a call costs more than a piece does."""
         ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(ids == self.line_end)
         if len(ends) != len(pieces) - 1:
-            return  # left to _encode_each
-        raw, start = ids.tobytes(), 0
-        for piece, end in zip(pieces, [*(4 * ends).tolist(), len(raw)]):
-            self.memo[piece] = raw[start:end]
-            start = end + 4
+            return self._each(pieces)
+        starts = np.concatenate([[0], ends + 1])
+        return ids, starts, np.append(ends, len(ids)) - starts
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = list(map(PLAIN, pieces)) if self.line_end is not None else [None] * len(pieces)
+        lined, others = list(compress(pieces, plain)), list(compress(pieces, map(not_, plain)))
+        blocks = [(self._lined, lined[at : at + LINED]) for at in range(0, len(lined), LINED)]
+        blocks += [(self._each, others[at : at + 4096]) for at in range(0, len(others), 4096)]
+        ids, starts, sizes, held = [self.ids], [self.starts], [self.sizes], len(self.ids)
+        for encode, block in blocks:
+            i, s, n = encode(block)
+            self.memo.update(zip(block, range(len(self.memo), len(self.memo) + len(block))))
+            self.characters += sum(map(len, block))
+            ids.append(i)
+            starts.append(s + held)
+            sizes.append(n)
+            held += len(i)
+        self.ids, self.starts, self.sizes = map(np.concatenate, (ids, starts, sizes))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The memo's numbers of distinct pieces; new ones are learnt."""
+        found = np.fromiter(map(self.memo.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0)
+        if len(self.memo) + len(new) > MEMO or self.characters > MEMO_CHARACTERS:
+            self._forget()
+            new = np.arange(len(pieces))
+        if len(new):
+            unknown = [pieces[i] for i in new.tolist()]
+            self._learn(unknown)
+            found[new] = np.fromiter(map(self.memo.__getitem__, unknown), np.int64, len(unknown))
+        return found
+
+    def _texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without nulls and added tokens, in a row, and the bounds of each one's."""
+        bounds, data = _bytes_of(texts)
+        if not len(data):
+            return np.empty(0, "<u4"), np.zeros(len(bounds), np.int64)
+        cut = byte_level_cuts(data, bounds[:-1][bounds[1:] > bounds[:-1]])
+        offsets = pa.py_buffer(np.append(cut, len(data)).astype(np.int32))
+        pieces = pa.StringArray.from_buffers(len(cut), offsets, pa.py_buffer(data)).dictionary_encode()
+        number = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
+        sizes = self.sizes[number]
+        till = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[number] - till + sizes, sizes) + np.arange(till[-1])]
+        return ids, np.append(0, till)[np.searchsorted(cut, bounds)]
+
+    def encode_joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the bounds of each one's; null has none."""
+        texts = pc.fill_null(texts, "")
+        marked = np.zeros(len(texts), bool)
+        for a in self.added:
+            marked |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._texts(texts)
+        ids, bounds = self._texts(pc.if_else(pa.array(marked), "", texts))
+        parts = [ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.flatnonzero(marked).tolist():
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        split = [[] if i in whole else self.split(t or "") for i, t in enumerate(texts)]
-        new = list(set().union(*split).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set().union(*split))
-        lined = [p for p in new if _plain(p)] if self.line_end is not None else []
-        for at in range(0, len(lined), LINED):
-            self._encode_lined(lined[at : at + LINED])
-        self._encode_each([p for p in new if p not in self.memo])
-        for i, pieces in enumerate(split):
-            split[i] = None
-            if i in whole:
-                yield np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
-                continue
-            yield np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4")
+        """Ids of each text; null has none."""
+        ids, bounds = self.encode_joined(pa.array(texts, pa.string()))
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[x:y]
 
 
 @lru_cache(maxsize=2)
@@ -112,17 +180,25 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the ids at which the rolling hash has the form of a cut."""
+    found = [np.empty(0, np.int64)]
+    for at in range(0, len(ids), BLOCK):
+        before = min(at, REACH - 1)
+        g = _mixed(ids[at - before : at + BLOCK])
+        h = g.copy()
+        for k in range(1, min(REACH, len(g))):
+            h[k:] += g[:-k] << np.uint64(8 * k)
+        found.append(np.flatnonzero((h[before:] >> np.uint64(40)).astype(np.uint32) % np.uint32(MEAN - LEAST) == 0) + (at + 1))
+    return np.concatenate(found)
+
+
+def _ends(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of n ids with these marks."""
     if n <= LEAST:
         return [n] if n else []
-    g = _mixed(ids)
-    h = g.copy()
-    for k in range(1, min(REACH, n)):
-        h[k:] += g[:-k] << np.uint64(8 * k)
     ends, last = [], 0
-    for end in (np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN - LEAST) == 0) + 1).tolist():
+    for end in marks:
         while end - last > MOST:
             last += MOST
             ends.append(last)
@@ -135,6 +211,19 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends + [n] if last < n else ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return _ends(len(ids), _marks(ids).tolist())
+
+
+def cuts_of(ids: np.ndarray, bounds: np.ndarray) -> Iterator[list[int]]:
+    """Ends of the chunks of many id streams that stand in a row, each as if it stood alone: no chunk ends where the hash still sees the stream before."""
+    marks = _marks(ids)
+    at = np.searchsorted(marks, bounds, "right").tolist()
+    for k, (start, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        yield _ends(end - start, (marks[at[k] : at[k + 1]] - start).tolist())
+
+
 def merkle_root(names: list[bytes]) -> bytes:
     """The root over names: pairs are hashed level by level, an odd last one goes up as it is."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in names]
@@ -151,16 +240,17 @@ def _encoder(path: str, end_id: int, width: int):
 
     def run(batches):
         tokenizer, sent = loaded(path), set()
-        end = np.array([end_id], "<u4")
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in _slices(batch.column(1)):
                 chunks, recipes = [], []
-                for doc_id, ids in zip(batch.column(0)[at : at + len(part)].to_pylist(), tokenizer.encode_many(part)):
-                    ids = np.concatenate([ids, end]).astype(f"<u{width}")
+                ids, bounds = tokenizer.encode_joined(part)
+                ids, bounds = np.insert(ids, bounds[1:], end_id).astype(f"<u{width}"), bounds + np.arange(len(bounds))
+                stored = ids.tobytes()
+                for doc_id, first, ends in zip(batch.column(0)[at : at + len(part)].to_pylist(), bounds.tolist(), cuts_of(ids, bounds)):
                     start, hashes, counts = 0, [], []
-                    for stop in cuts(ids):
-                        raw = ids[start:stop].tobytes()
+                    for stop in ends:
+                        raw = stored[width * (first + start) : width * (first + stop)]
                         name = hashlib.sha256(raw).digest()
                         if name not in sent:
                             if len(sent) >= SENT:
@@ -170,7 +260,7 @@ def _encoder(path: str, end_id: int, width: int):
                         hashes.append(name)
                         counts.append(stop - start)
                         start = stop
-                    recipes.append((doc_id, len(ids), hashes, counts, merkle_root(hashes)))
+                    recipes.append((doc_id, start, hashes, counts, merkle_root(hashes)))
                 at += len(part)
                 c, r = len(chunks), len(recipes)
                 columns = [["chunk"] * c + ["recipe"] * r, [x[0] for x in chunks] + [None] * r, [x[1] for x in chunks] + [None] * r]
