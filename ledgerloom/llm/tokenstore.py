@@ -149,7 +149,7 @@ class PieceTokenizer:
 
     def encode_joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each one's; null has none."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         marked = np.zeros(len(texts), bool)
         for a in self.added:
             marked |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)

@@ -60,3 +60,10 @@ def test_slices_are_bounded_and_whole(monkeypatch):
     for p in parts:
         ids, bounds = own.encode_joined(p)
         assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in p.to_pylist()]
+
+
+def test_large_strings_are_taken():
+    own, texts = PieceTokenizer(JSON), ["some words", None, "é <|endoftext|> x", "", "don't"]
+    want = [x.tolist() for x in own.encode_many(texts)]
+    parts = [own.encode_joined(p) for p in _slices(pa.array(texts, pa.large_string()))]
+    assert [ids[x:y].tolist() for ids, bounds in parts for x, y in zip(bounds, bounds[1:])] == want
