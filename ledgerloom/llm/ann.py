@@ -8,7 +8,8 @@ are ranked by their exact inner product.
 
 Buckets are dealt to groups of about GROUP vectors; a group that a common bucket makes larger is split by vec_id, and
 queries go to each of its parts. So no task holds a bucket of unbounded size, no vector is left out, and no pair is ever
-a row: products are taken in blocks, and only each block's best 20 leave it.
+a row: products are taken in blocks, and only each block's best 20 leave it. A task's memory is that of GROUP vectors,
+half as many queries and one block, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import ship, staged
 
 TABLES, HASHES, WIDTH, PROBES, NEAREST, SEED = 8, 6, 1.5, 128, 20, 11
-GROUP = 16_384
-#: Products taken at once.
-BLOCK = 1 << 22
-#: A product within this of the least that counts is taken again exactly; block products round differently by shape.
+#: Vectors of a group; half as many queries meet them at once. A query goes to most groups of a table, so few large ones cost less.
+GROUP = 65_536
+#: Products taken at once, and those of them that are taken again exactly at once.
+BLOCK, EXACT = 1 << 20, 1 << 14
+#: A product within this (times both norms) of the least that counts is taken again exactly; block products round differently by shape.
 SLACK = 1e-9
 
 
@@ -72,19 +74,21 @@ class Hashes:
 
 
 def _valid(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id and x (doubles) of the vectors that take part."""
+    """vec_id and x (floats as they are, anything else as doubles) of the vectors that take part."""
     v = F.col(vector)
+    plain = v if vectors.schema[vector].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     ok = v.isNotNull() & F.col(vec_id).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(ok).select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("x"))
+    return vectors.where(ok).select(F.col(vec_id).cast("long").alias("vec_id"), plain.alias("x"))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
+def _matrix(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype("<f8", copy=False)
 
 
 def best_of(points: np.ndarray, point_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, meets: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, list[int], list[float]]]:
     """Each query's n nearest among what it meets: pairs of rows of points and rows of queries, all of one with all of the other."""
     least = np.full(len(queries), -np.inf)
+    slack = SLACK * np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((points * points).sum(axis=1).max(initial=0.0))
     held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     waiting = 0
@@ -102,19 +106,34 @@ def best_of(points: np.ndarray, point_ids: np.ndarray, queries: np.ndarray, quer
             last = np.searchsorted(held[0], full, side="right") - 1
             least[full] = held[2][last]
 
-    for p_rows, q_rows in meets:
-        for a in range(0, len(q_rows), max(1, BLOCK // max(1, len(p_rows)))):
-            part = q_rows[a : a + max(1, BLOCK // max(1, len(p_rows)))]
-            products = queries[part] @ points[p_rows].T
-            i, j = np.nonzero(products >= least[part][:, None] - SLACK)
-            q, p = part[i], p_rows[j]
-            other = query_ids[q] != point_ids[p]
-            q, p = q[other], p[other]
-            if len(q):
-                fresh.append((q, p, np.einsum("ij,ij->i", queries[q], points[p])))
-                waiting += len(q)
-            if waiting > 1 << 18:
-                settle()
+    def exact(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        parts = [np.einsum("ij,ij->i", queries[q[a : a + EXACT]], points[p[a : a + EXACT]]) for a in range(0, len(q), EXACT)]
+        return np.concatenate(parts)
+
+    def blocks():
+        for p_rows, q_rows in meets:
+            for a in range(0, len(p_rows), BLOCK):
+                some = p_rows[a : a + BLOCK]
+                step = max(1, BLOCK // len(some))
+                for b in range(0, len(q_rows), step):
+                    yield some, q_rows[b : b + step]
+
+    for p_rows, part in blocks():
+        products = queries[part] @ points[p_rows].T
+        near = products >= (least[part] - slack[part])[:, None]
+        if np.count_nonzero(near) > 2 * n * len(part) and len(p_rows) > n + 1:
+            # Of the block's own products the best n count, and one more, as the query itself may be among them.
+            own = np.partition(products, -(n + 1), axis=1)[:, -(n + 1)]
+            near &= products >= (own - 2 * slack[part])[:, None]
+        i, j = np.nonzero(near)
+        q, p = part[i], p_rows[j]
+        other = query_ids[q] != point_ids[p]
+        q, p = q[other], p[other]
+        if len(q):
+            fresh.append((q, p, exact(q, p)))
+            waiting += len(q)
+        if waiting > 1 << 18:
+            settle()
     settle()
     out, ends = [], np.flatnonzero(np.diff(held[0], append=-1))
     start = 0
@@ -136,8 +155,10 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     spark = vectors.sparkSession
     ship(spark)
     schema = "query_id long, rank int, vec_id long, score double"
-    valid = _valid(vectors, vec_id, vector)
-    facts = valid.agg(F.count("*"), F.max(F.size("x")), F.min(F.size("x")), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)))).first()
+    valid = staged(_valid(vectors, vec_id, vector).dropDuplicates(["vec_id"]), "vectors")
+    kind = "<f4" if valid.schema["x"].dataType.simpleString() == "array<float>" else "<f8"
+    norm = F.sqrt(F.aggregate(F.col("x").cast("array<double>"), F.lit(0.0), lambda a, b: a + b * b))
+    facts = valid.agg(F.count("*"), F.max(F.size("x")), F.min(F.size("x")), F.max(norm)).first()
     if not facts[0]:
         return spark.createDataFrame([], schema)
     if facts[1] != facts[2]:
@@ -149,8 +170,8 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         for batch in batches:
             ids = batch.column(0).to_numpy()
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            codes = family.buckets(x) if len(ids) else np.empty((0, tables), np.int64)
-            raw = [row.tobytes() for row in x.astype("<f8")]
+            codes = family.buckets(x.astype("<f8")) if len(ids) else np.empty((0, tables), np.int64)
+            raw = [row.tobytes() for row in x.astype(kind)]
             for t in range(tables):
                 group = t * split + (codes[:, t].astype(np.uint64) >> np.uint64(17)) % np.uint64(split)
                 yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), pa.array(codes[:, t]), pa.array(ids), pa.array(raw, pa.binary())], ["g", "code", "vec_id", "x"])
@@ -162,14 +183,13 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[keep]
             for start in range(0, len(keep), 1024):
                 part, own = x[start : start + 1024], ids[keep[start : start + 1024]].tolist()
-                raw = [row.tobytes() for row in part.astype("<f8")]
+                raw = [row.tobytes() for row in part.astype(kind)]
                 for t in range(tables):
-                    codes = family.probes(part, t, probes)
+                    codes = family.probes(part.astype("<f8"), t, probes)
                     groups = (codes.astype(np.uint64) >> np.uint64(17)) % np.uint64(split)
                     rows = [(t * split + int(g), c[h == g].tolist(), i, r) for c, h, i, r in zip(codes, groups, own, raw) for g in np.unique(h)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["g", "codes", "query_id", "q"])
 
-    valid = valid.dropDuplicates(["vec_id"])
     points = staged(valid.mapInArrow(index, "g long, code long, vec_id long, x binary"), "points")
     queries = staged(valid.where(F.col("vec_id") % every == 0).mapInArrow(visit, "g long, codes array<long>, query_id long, q binary"), "probes")
     parts = points.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
@@ -192,13 +212,13 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         meets = [(b, np.array(wanted[c])) for c, b in zip(names.tolist(), buckets) if c in wanted]
         if everything:
             meets.append((rows, np.array(everything)))
-        found = best_of(_matrix(p["x"]), p["vec_id"].to_numpy(), _matrix(q["q"]), q["query_id"].to_numpy(), meets, n)
+        found = best_of(_matrix(p["x"], kind), p["vec_id"].to_numpy(), _matrix(q["q"], kind), q["query_id"].to_numpy(), meets, n)
         negated = [[-s for s in f[2]] for f in found]  # so that ascending order puts the nearest first
         return pd.DataFrame({"query_id": pd.Series([f[0] for f in found], dtype="int64"), "s": pd.Series(negated, dtype=object), "v": pd.Series([f[1] for f in found], dtype=object)})
 
     def searched(q: DataFrame) -> DataFrame:
         # A hot group's vectors and queries are both cut up; every part of the ones meets every chunk of the others.
-        chunks = q.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
+        chunks = q.groupBy("g").agg(F.ceil(F.count("*") * 2 / GROUP).cast("int").alias("chunks"))
         sizes = parts.join(chunks, "g")
         dealt = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
         p = points.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("chunk", dealt("chunks")).drop("parts", "chunks")

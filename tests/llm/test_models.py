@@ -1,10 +1,12 @@
 """Neighbour search against exact search, language of pages on labelled pages, and the pipeline."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow.parquet as pq
 
 from ledgerloom.llm import queries
-from ledgerloom.llm.ann import nearest
+from ledgerloom.llm.ann import best_of, nearest
 from ledgerloom.llm.langid import declared_language, identify, page_text
 
 from .conftest import SF
@@ -71,6 +73,23 @@ def test_a_hot_bucket_is_cut_on_both_sides(spark, monkeypatch):
     assert whole.keys() == cut.keys()
 
 
+def test_a_block_of_neighbours_takes_bounded_memory():
+    rng = np.random.default_rng(7)
+    points, queries = rng.normal(size=(600, 64)), rng.normal(size=(1500, 64))
+    points[300:], queries[:5] = points[0], points[0]  # copies, more than count
+    meets = [(np.arange(600), np.arange(1500))]
+    tracemalloc.start()
+    found = {q: (v, s) for q, v, s in best_of(points, np.arange(600), queries, np.arange(1000, 2500), meets, 20)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # 900,000 products; their vectors side by side would take 920 MB
+    products = np.einsum("ij,kj->ik", queries, points)
+    for k in range(1500):
+        best = sorted(range(600), key=lambda j: (-products[k, 0 if j >= 300 else j], j))[:20]
+        assert found[1000 + k][0] == best
+        assert np.allclose(found[1000 + k][1], products[k, best], rtol=0, atol=1e-9)
+
+
 def test_language_of_labelled_pages(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
     known = [r for r in docs.where("lang in ('de', 'en', 'es', 'fr') and length(text) > 300").orderBy("doc_id").collect()][-200:]
