@@ -99,29 +99,22 @@ def linked(lines: DataFrame, registry: DataFrame) -> DataFrame:
 def candidate_pairs(lines: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of lines of different files with equal amount and direction: a_* is the earlier line, b_* the later.
 
-    A PIX line meets COMPLETO lines of its day and the WINDOW days after; any other two roles meet on one day. Each
-    PIX line is dealt to the days of its window, so that both branches are plain equi-joins; a pair has one gap, so it
-    comes once. Accounts must be equal where both are known. scope names further columns that must be equal.
+    Any two roles meet on one day, and a line without a role only those that are neither PIX nor COMPLETO; a PIX line
+    also meets COMPLETO lines of the WINDOW days after. Each PIX line is dealt to those days, so that both branches are
+    plain equi-joins, each line is shuffled as few times as they need, and a pair comes once. Accounts must be equal
+    where both are known. scope names further columns that must be equal.
     """
     keys = ["valor", "direcao", *scope]
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in lines.columns if c not in keys]
-    pix = lines.where("papel = 'PIX'").select(*keys, F.explode(F.sequence("data_movimento", F.date_add("data_movimento", WINDOW))).alias("_day"), *side("p"))
-    full = lines.where("papel = 'COMPLETO'").select(*keys, F.col("data_movimento").alias("_day"), *side("c"))
-    met = pix.join(full, [*keys, "_day"]).where("p_arquivo_id <> c_arquivo_id AND coalesce(p_conta_id = c_conta_id, true)")
     others = [c for c in lines.columns if c not in keys]
-    pix_first = F.expr("struct(p_data_movimento, p_id) <= struct(c_data_movimento, c_id)")
-    pick = lambda x, y: [F.when(pix_first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")) for c in others]
-    across = met.select(*keys, *[e.alias(f"a_{c}") for c, e in zip(others, pick("p", "c"))], *[e.alias(f"b_{c}") for c, e in zip(others, pick("c", "p"))])
-    day = lines.withColumn("_day", F.col("data_movimento"))
-    a, b = day.select(*keys, "_day", *side("a")), day.select(*keys, "_day", *side("b"))
+    side = lambda p, day: [*keys, day.alias("_day"), *[F.col(c).alias(f"{p}_{c}") for c in others]]
     apart = "a_arquivo_id <> b_arquivo_id AND coalesce(a_conta_id = b_conta_id, true)"
-    # Lines of one role, and those of a third role with all others: PIX and COMPLETO, met above, never meet here.
-    role = [*keys, "_day", "_papel"]
-    alike = a.withColumn("_papel", F.col("a_papel")).join(b.withColumn("_papel", F.col("b_papel")), role).where("a_id < b_id").where(apart).drop("_papel")
-    third = a.where("a_papel NOT IN ('PIX', 'COMPLETO')").join(b, [*keys, "_day"]).where("NOT a_papel <=> b_papel AND (a_id < b_id OR b_papel IS NULL OR b_papel IN ('PIX', 'COMPLETO'))").where(apart)
-    first = F.col("a_id") < F.col("b_id")
-    ordered = third.select(*keys, "_day", *[F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in (("a", "b"), ("b", "a")) for c in others])
-    return across.unionByName(alike.drop("_day")).unionByName(ordered.drop("_day"))
+    day = F.col("data_movimento")
+    on_day = lines.select(*side("a", day)).join(lines.select(*side("b", day)), [*keys, "_day"]).where(apart)
+    on_day = on_day.where("a_id < b_id OR (a_id = b_id AND a_papel = 'PIX' AND b_papel = 'COMPLETO')")
+    on_day = on_day.where("(a_papel IS NOT NULL AND b_papel IS NOT NULL) OR a_papel NOT IN ('PIX', 'COMPLETO') OR b_papel NOT IN ('PIX', 'COMPLETO')")
+    ahead = F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, WINDOW)))
+    later = lines.where("papel = 'PIX'").select(*side("a", ahead)).join(lines.where("papel = 'COMPLETO'").select(*side("b", day)), [*keys, "_day"]).where(apart)
+    return on_day.unionByName(later).drop("_day")
 
 
 def main_pairs(scored: DataFrame) -> DataFrame:

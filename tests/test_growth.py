@@ -47,6 +47,17 @@ def test_pairs_of_a_line_are_counted_without_making_them(spark):
     assert len(want) > 100 and {i: n for i, n in found.items() if n} == want and len(found) == sum(x[1] is not None for x in rows)
 
 
+def test_a_line_is_dealt_once_to_its_day_and_once_to_those_ahead(spark):
+    lines = view(spark, SMALL, "linha")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = consolidate.candidate_pairs(lines.localCheckpoint())
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_singles_score_pairs_once_and_keep_no_weak_ones(spark, monkeypatch):
     lines, people = view(spark, SMALL, "linha"), view(spark, SMALL, "pessoa")
     lines = consolidate.linked(lines, people).cache()
