@@ -212,25 +212,18 @@ def assign(pairs: DataFrame) -> DataFrame:
     return taken if taken is not None else spark.createDataFrame([], left.schema).drop("rank")
 
 
-def _alone(lines: DataFrame, taken: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    used = taken.select(F.explode(F.array("a_id", "b_id")).alias("id"))
-    alone = lines.join(used, "id", "left_anti").join(hypotheses, "id", "left")
-    known = F.col("pf").isNotNull() | F.col("pj").isNotNull()
-    confidence = F.when(known, SINGLE_DOCUMENT).when(F.col("unico").isNotNull(), SINGLE_NAME).otherwise(SINGLE_NOTHING)
-    return alone.select("id", confidence.alias("confianca"), F.coalesce("n_hipoteses", F.lit(0)).alias("n_hipoteses"))
-
-
 def singles(lines: DataFrame, taken: DataFrame, scored: DataFrame) -> DataFrame:
     """The linked() lines in no taken pair: id, confianca (by registered document, by a name that is unique, or neither) and
-    n_hipoteses, the number of their weak pairs. The hypotheses themselves are rows of weak_pairs()."""
-    return _alone(lines, taken, weak_pairs(scored).groupBy("id").agg(F.count("*").alias("n_hipoteses")))
+    n_hipoteses, the number of their weak pairs. The hypotheses themselves are rows of weak_pairs().
 
-
-def singles_counted(lines: DataFrame, taken: DataFrame, strong: DataFrame) -> DataFrame:
-    """What singles() gives, from the pairs that are not weak alone (a_id, b_id): a line's weak pairs are all its pairs less those."""
-    ends = strong.select(F.explode(F.array("a_id", "b_id")).alias("id")).groupBy("id").agg(F.count("*").alias("_strong"))
-    other = partner_counts(lines).join(ends, "id", "left").select("id", (F.col("n_pares") - F.coalesce("_strong", F.lit(0))).alias("n_hipoteses"))
-    return _alone(lines, taken, other)
+    Weak pairs are counted where they are made, so that a task hands on one row for each line that it has met.
+    """
+    known = F.col("pf").isNotNull() | F.col("pj").isNotNull()
+    confidence = F.when(known, SINGLE_DOCUMENT).when(F.col("unico").isNotNull(), SINGLE_NAME).otherwise(SINGLE_NOTHING)
+    used = taken.select(F.explode(F.array("a_id", "b_id")).alias("id"))
+    weak = scored.where("fraco").select(F.explode(F.array("a_id", "b_id")).alias("id")).groupBy("id").agg(F.count("*").alias("n_hipoteses"))
+    alone = lines.select("id", confidence.alias("confianca")).join(used, "id", "left_anti").join(weak, "id", "left")
+    return alone.select("id", "confianca", F.coalesce("n_hipoteses", F.lit(0)).alias("n_hipoteses"))
 
 
 def partner_counts(lines: DataFrame) -> DataFrame:
